@@ -179,7 +179,7 @@ def auto_tags(md: Column) -> Column:
 
 def word_count(md: Column) -> Column:
     """Number of whitespace-separated words."""
-    return F.size(F.filter(F.split(md, WS + "+"), lambda w: w != "")).cast("int")
+    return F.size(F.filter(F.split(md, WS + "+"), lambda w: w != "")).cast("long")
 
 
 # ---------------------------------------------------------------- Markdown post-processing and notes

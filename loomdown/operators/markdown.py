@@ -113,7 +113,7 @@ def render(rows: DataFrame, opts, with_languages: bool = True) -> DataFrame:
     block = elem & _is(K.BLOCK_TAGS) & ~F.col("in_pre")
     href = attr("href")
     fmt = elem & ~F.col("in_pre") & (_is(["b", "strong", "i", "em", "code"]) | ((F.col("tag") == "a") & (F.coalesce(href, F.lit("")) != "")))
-    u = rows.select("page_id", "pos", "ord", "sub", "elem", "end", "kind", "tag", "text", "in_pre", "parent", "attrs",
+    u = rows.select("page_id", "pos", "ord", "sub", "elem", "end", "kind", "tag", "text", "in_pre", "parent", "amap",
                     block.alias("blk"), fmt.alias("fmt"), href.alias("href"))
     # ordered-list item numbers: an li row joins its parent's group (window, no join)
     is_li = is_open & (F.col("kind") == "open") & (F.col("tag") == "li")

@@ -1,13 +1,13 @@
 """A page becomes rows of a node table.
 
-``nodes(page_id, pos, end, depth, parent, kind, tag, tok, attrs, cls, role, text, piece)``
+``nodes(page_id, pos, ord, sub, elem, end, depth, parent, kind, tag, amap, cls, role, text, any_text, piece)``
 
 * one row per token (N1), ``pos`` is the token index inside the page;
 * nested-set interval ``[pos, end)`` per element, exclusive ``end`` (N3) computed by a per-page stack pass: a close tag
   pops through the nearest open element with that tag (matched: ``end = close + 1``; popped with it: ``end = close``),
   a close tag with no such open element is ignored, elements left open end at the page's token count;
 * ``depth`` = number of enclosing elements, ``parent`` = position of the innermost one (N4);
-* ``attrs`` (N2), entity-decoded text (N7).
+* ``amap`` attribute map (N2), entity-decoded text (N7).
 
 Physical plan: pages are hash-partitioned by ``page_id`` once, *before* the explode, so every later window, aggregate
 and self-join keyed by ``page_id`` reuses that partitioning and the only Exchange moves the raw page rows.
@@ -110,6 +110,12 @@ def _stack_walk_udf():
     return stack_walk
 
 
+def page_partitions(spark) -> int:
+    """Partitions for the page shuffle: the session's shuffle partitions, at least the default parallelism."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(n, spark.sparkContext.defaultParallelism)
+
+
 def tokenize(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Page rows -> (key, toks array<string>); lossless: concatenating toks gives the page back."""
     return pages.select(F.col(key).alias("page_id"), F.regexp_extract_all(F.col(html), F.lit(TOKEN_RE), 1).alias("toks"))
@@ -139,17 +145,21 @@ def _attrs(tok: Column) -> Column:
     return F.transform(items, one)
 
 
-def attr(name: str, attrs: str | Column = "attrs") -> Column:
-    """Value of one attribute (the last one wins on duplicates), NULL when absent."""
-    a = F.col(attrs) if isinstance(attrs, str) else attrs
-    return F.try_element_at(F.filter(a, lambda x: x["k"] == F.lit(name)), F.lit(-1))["v"]
+def attr_map(attrs: Column) -> Column:
+    """N2 map: duplicate attribute names resolved up front, the last value wins (no session dedup policy needed)."""
+    rev = F.reverse(attrs)
+    uniq = F.filter(rev, lambda a, i: ~F.exists(F.slice(rev, F.lit(1), i), lambda b: b["k"] == a["k"]))
+    return F.when(F.size(attrs) > 0, F.map_from_entries(uniq))
+
+
+def attr(name: str, amap: str = "amap") -> Column:
+    """Value of one attribute, NULL when absent."""
+    return F.col(amap)[F.lit(name)]
 
 
 def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html", partitioned: bool = False) -> DataFrame:
     """Node table, hash-partitioned by page_id (see module doc)."""
     src = pages.select(F.col(key).alias("page_id"), F.col(html).alias("html"))
-    if not partitioned:
-        src = src.repartition("page_id")
     toks = src.select("page_id", F.regexp_extract_all("html", F.lit(TOKEN_RE), 1).alias("toks"))
     ev = toks.select(
         "page_id", "toks", F.size("toks").cast("int").alias("n_tok"),
@@ -167,6 +177,12 @@ def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html"
             walk(F.when(big, F.expr("transform(ev, e -> e.k)")), F.when(big, F.expr("transform(ev, e -> e.t)"))),
         ).alias("out"),
     )
+    if not partitioned:
+        # Tokens and nesting are computed map-side in the page row (the Arrow stack walk must run before the
+        # Exchange: a Python node does not report its child's partitioning). One Exchange moves the page rows by
+        # page_id; an explicit count because the explode multiplies the per-page work several times over, so AQE
+        # must not merge these small-looking partitions by input size.
+        nested = nested.repartition(page_partitions(pages.sparkSession), "page_id")
     rows = nested.select(
         "page_id",
         F.inline(F.transform("out", lambda o: F.struct(
@@ -176,7 +192,7 @@ def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html"
     rows = rows.withColumn("kind", F.expr(KIND_SQL))
     is_tag = F.col("kind").isin("open", "void", "raw", "close")
     rows = rows.withColumn("tag", F.when(is_tag, F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][^\s/>]*)", 1))))
-    rows = rows.withColumn("attrs", F.when(F.col("kind").isin("open", "void", "raw"), _attrs(F.col("tok"))))
+    rows = rows.withColumn("amap", F.when(F.col("kind").isin("open", "void", "raw"), attr_map(_attrs(F.col("tok")))))
     raw_body = F.regexp_extract("tok", r"(?is)^<[a-z][^>]*+>(.*)</[a-z]+\s*>$", 1)
     text = (
         F.when(F.col("kind") == "text", decode_entities(F.col("tok")))
@@ -200,7 +216,7 @@ def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html"
     return with_end_markers(rows)
 
 
-NODE_COLS = ["page_id", "pos", "ord", "sub", "elem", "end", "depth", "parent", "kind", "tag", "attrs", "text", "any_text",
+NODE_COLS = ["page_id", "pos", "ord", "sub", "elem", "end", "depth", "parent", "kind", "tag", "amap", "text", "any_text",
              "cls", "role", "piece"]
 
 
@@ -210,13 +226,13 @@ def with_end_markers(rows: DataFrame) -> DataFrame:
     next token. Windows can then read "the value at the element's end" without a self-join. Generated from the same
     row (explode), so the lineage is not duplicated."""
     is_el = F.col("kind").isin("open", "void", "raw")
-    fields = ["pos", "end", "depth", "parent", "kind", "tag", "attrs", "text", "any_text", "cls", "role", "piece"]
+    fields = ["pos", "end", "depth", "parent", "kind", "tag", "amap", "text", "any_text", "cls", "role", "piece"]
     real = F.struct(
         F.col("pos"), F.lit(0).alias("ord"), F.lit(0).alias("sub"), F.when(is_el, F.col("pos")).alias("elem"),
         *[F.col(c) for c in fields if c != "pos"])
     mark = F.struct(
         (F.col("end") - 1).alias("pos"), F.lit(1).alias("ord"), (-F.col("pos")).alias("sub"), F.col("pos").alias("elem"),
-        F.col("end"), F.col("depth"), F.col("parent"), F.lit("end").alias("kind"), F.col("tag"), F.col("attrs"),
+        F.col("end"), F.col("depth"), F.col("parent"), F.lit("end").alias("kind"), F.col("tag"), F.col("amap"),
         F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("any_text"), F.col("cls"), F.col("role"),
         F.lit(None).cast("string").alias("piece"))
     both = F.when(is_el, F.array(real, mark)).otherwise(F.array(real))

@@ -108,11 +108,13 @@ def page_titles(nodes: DataFrame) -> DataFrame:
     """(page_id, title, source) for every page that has one strategy answer; pages without any are absent."""
     idx = with_piece_index(nodes)
     texts = element_texts(idx, title_candidates(nodes))
-    val = (
-        F.when(F.col("src").isin("attr", "class", "role"), clean_title(F.col("text_sp")))
-        .when(F.col("src") == "user", user_turn_title(F.col("text_sp")))
-        .otherwise(clean_title(F.col("text_nosp")))
-    )
+    # one instance of each rule (keeps the generated code small): sidebar items join pieces with a space,
+    # <title> and h1 without one; the user-turn rule does not clean platform names
+    raw = F.when(F.col("src").isin("attr", "class", "role"), F.col("text_sp")).otherwise(F.col("text_nosp"))
+    texts = texts.withColumn("_raw", raw).withColumn(
+        "_clean", F.when(F.col("src") != "user", clean_title(F.col("_raw")))).withColumn(
+        "_user", F.when(F.col("src") == "user", user_turn_title(F.col("text_sp"))))
+    val = F.coalesce(F.col("_clean"), F.col("_user"))
     prio = F.create_map(*[x for i, s in enumerate(["attr", "class", "role", "user", "title", "h1"]) for x in (F.lit(s), F.lit(i))])[F.col("src")]
     best = texts.withColumn("val", val).where(F.col("val").isNotNull()).groupBy("page_id").agg(
         F.min_by(F.struct(F.col("val").alias("title"), F.col("src").alias("source")), F.struct(prio, "r1", "r2")).alias("b"))
