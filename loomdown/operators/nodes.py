@@ -159,8 +159,8 @@ def attr(name: str, amap: str = "amap") -> Column:
 
 def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html", partitioned: bool = False) -> DataFrame:
     """Node table, hash-partitioned by page_id (see module doc)."""
-    src = pages.select(F.col(key).alias("page_id"), F.col(html).alias("html"))
-    toks = src.select("page_id", F.regexp_extract_all("html", F.lit(TOKEN_RE), 1).alias("toks"))
+    pid = F.col("page_id") if key == "page_id" else F.col(key).alias("page_id")
+    toks = pages.select(pid, F.regexp_extract_all(F.col(html), F.lit(TOKEN_RE), 1).alias("toks"))
     ev = toks.select(
         "page_id", "toks", F.size("toks").cast("int").alias("n_tok"),
         F.expr(f"""transform(toks, (tok, i) -> named_struct(

@@ -22,6 +22,8 @@ class Options:
     native_nesting_max_events: int = 6000
     # phrase tables up to this many rows are broadcast to the text-node scan; larger ones use a trigram join
     phrase_broadcast_max_rows: int = 20000
+    # how the node table and the cleaned region rows are materialised: "checkpoint", "persist" or "none"
+    materialize: str = "checkpoint"
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Options":

@@ -11,7 +11,6 @@ Physical notes
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from loomdown.functions import constants as K
 from loomdown.functions import text as T
 from loomdown.operators.chrome import drop_subtrees, element_measure, text_len, with_live
 from loomdown.operators.markdown import render
+from loomdown.plans.materialize import materialize
 
 ORDER = ["pos", "ord", "sub"]
 
@@ -68,8 +68,9 @@ def container_and_answer(nodes: DataFrame) -> DataFrame:
 
 def page_answers(nodes: DataFrame, requests: DataFrame, opts, titles: DataFrame | None = None) -> DataFrame:
     """One row per request (phrase_id, page_id, phrase): status, message, title, file_name, markdown, word_count, tags."""
+    nodes = materialize(nodes, opts.materialize)
     hits = phrase_hits(nodes, requests)
-    ca = container_and_answer(nodes).where(F.col("ord") == 0).persist(StorageLevel.MEMORY_AND_DISK)
+    ca = materialize(container_and_answer(nodes).where(F.col("ord") == 0).select("page_id", "pos", "cont", "next_div"), opts.materialize)
     h = hits.join(ca.select("page_id", F.col("pos").alias("hit"), "cont"), ["page_id", "hit"], "left")
     h = h.join(ca.select("page_id", F.col("pos").alias("cont"), "next_div"), ["page_id", "cont"], "left")
     h = h.select("page_id", "phrase_id", "hit", "cont", F.col("next_div.apos").alias("apos"), F.col("next_div.aend").alias("aend"))

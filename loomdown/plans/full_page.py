@@ -1,13 +1,12 @@
 """E1 whole-page notes: scan -> N1..N3 -> T2..T9 -> F1..F12 -> F14 -> R1..R6 -> L7, R7 -> T10, T13 -> S4/S5.
 
-One Exchange moves the raw page rows by ``page_id``; titles, clean-up and rendering reuse that partitioning. The node
-table is persisted (MEMORY_AND_DISK, lineage kept, so a lost executor only recomputes its pages) because titles and
-rendering both read it; the live region rows are persisted because rendering and code-language lookup both read them.
+One Exchange moves the page rows by ``page_id``; titles, clean-up and rendering reuse that partitioning. The node table
+(read by titles and clean-up) and the cleaned rows (read by rendering, code languages and the A4 count) are
+materialised with a reliable checkpoint that keeps the partitioning (see ``plans.materialize``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from loomdown.operators.chrome import clean_page
 from loomdown.operators.markdown import render
 from loomdown.operators.nodes import build_nodes
 from loomdown.operators.titles import page_titles
+from loomdown.plans.materialize import materialize
 
 
 def url_stem(url: Column, key: Column) -> Column:
@@ -35,11 +35,11 @@ def page_notes(pages: DataFrame, opts, key: str = "page_id", html: str = "html",
     """One row per input page: (page_id, title, file_name, markdown, word_count, tags, n_code, removed_code, status,
     message). ``stem`` is the fallback raw title (file stem with '_'/'-' as spaces)."""
     if nodes is None:
-        nodes = build_nodes(pages, opts, key=key, html=html).persist(StorageLevel.MEMORY_AND_DISK)
+        nodes = materialize(build_nodes(pages, opts, key=key, html=html), opts.materialize)
     titles = page_titles(nodes)
-    cleaned = clean_page(nodes, opts)
-    removed = cleaned.where(F.col("user_code")).groupBy("page_id").agg(F.count("*").cast("int").alias("removed_code"))
-    region = cleaned.where(F.col("in_region")).persist(StorageLevel.MEMORY_AND_DISK)
+    cleaned = materialize(clean_page(nodes, opts).where(F.col("in_region") | F.col("user_code")), opts.materialize)
+    removed = cleaned.where(F.col("user_code")).groupBy("page_id").agg(F.count("*").alias("removed_code"))
+    region = cleaned.where(F.col("in_region"))
     md = render(region, opts).withColumn("markdown", postprocess_full_page(F.col("markdown")))
     base = pages.select(F.col(key).alias("page_id"), (stem if stem is not None else F.lit(None).cast("string")).alias("stem"))
     j = base.join(md, "page_id", "left").join(titles, "page_id", "left").join(removed, "page_id", "left")
@@ -55,8 +55,8 @@ def page_notes(pages: DataFrame, opts, key: str = "page_id", html: str = "html",
         markdown.alias("markdown"),
         T.word_count(markdown).alias("word_count"),
         T.auto_tags(markdown).alias("tags"),
-        F.coalesce(F.col("n_code"), F.lit(0)).cast("int").alias("n_code"),
-        F.coalesce(F.col("removed_code"), F.lit(0)).alias("removed_code"),
+        F.coalesce(F.col("n_code"), F.lit(0)).cast("long").alias("n_code"),
+        F.coalesce(F.col("removed_code"), F.lit(0)).cast("long").alias("removed_code"),
         F.when(ok, "ok").otherwise("empty").alias("status"),
         F.when(ok, "Full-page export successful.").otherwise("Nothing to export: empty Markdown.").alias("message"),
     )
