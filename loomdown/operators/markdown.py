@@ -95,10 +95,12 @@ def code_languages(rows: DataFrame) -> DataFrame:
     # at most 120 pieces are needed (all text when <= 120 chars, else the last 60 chars)
     k_lo = F.when(F.col("blen") > 120, F.greatest(F.col("k_before") + 1, F.col("k_end") - 59)).otherwise(F.col("k_before") + 1)
     cb = cand.join(blocks, ["page_id", "bidx"])
-    cbk = cb.select("page_id", "pre_pos", "j", F.explode(F.sequence(k_lo, F.col("k_end"))).alias("k")).where(F.col("k") >= 1)
+    cbk = cb.select("page_id", "pre_pos", "j", "blen", F.explode(F.sequence(k_lo, F.col("k_end"))).alias("k")).where(F.col("k") >= 1)
     pieces = r.where(F.col("_hp") == 1).select("page_id", "k", "piece")
-    txt = cbk.join(pieces, ["page_id", "k"]).groupBy("page_id", "pre_pos", "j").agg(
+    txt = cbk.join(pieces, ["page_id", "k"]).groupBy("page_id", "pre_pos", "j", "blen").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("btext"))
+    # the 60-character cut is decided on the block's whole text length
+    txt = txt.withColumn("btext", F.when(F.col("blen") > 120, F.substr(F.col("btext"), F.length("btext") - 59)).otherwise(F.col("btext")))
     # blocks with no text still count as searched (they just never match)
     lab = txt.withColumn("lang", label_language(F.col("btext"))).where(F.col("lang").isNotNull()).groupBy("page_id", "pre_pos").agg(
         F.min_by("lang", "j").alias("label_lang"))
