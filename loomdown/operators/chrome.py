@@ -7,7 +7,8 @@ self-joins, so the lineage never forks and a stage is a pass over partitions tha
 * N6 drop-subtree: running ``max(end of doomed elements) > pos`` -> dead.
 * The 5000-character guards (F4-F6) read the text left by earlier stages: running sum of live piece lengths; the
   element's length = value at its end marker - value before its open row, read with a window over
-  ``(page_id, elem)`` (an element's open row and its end marker share ``elem``).
+  ``(page_id, elem)`` (an element's open row and its end marker share ``elem``). The four guarded stages are resolved
+  in one exact pass: a fold over the page's guard candidates in (stage, position) order.
 * F8 (branding) groups each candidate parent with its direct text children (window over ``(page_id, parent)``) and
   resolves the few candidates of a page in platform-name order.
 * F14 takes the page minimum of ``(priority, pos)`` with an unbounded window.
@@ -76,6 +77,33 @@ def drop_guarded(nodes: DataFrame, cand: Column, max_text: int = K.SIDEBAR_MAX_T
     return drop_subtrees(n, cand & (F.col("_tlen") <= max_text)).drop("_tlen")
 
 
+def drop_guarded_stages(nodes: DataFrame, stages: list[Column], max_text: int = K.SIDEBAR_MAX_TEXT) -> DataFrame:
+    """F4-F6 in one pass, exactly equal to running the guarded stages one after another.
+
+    Each candidate is judged on the text still live when its stage runs: its length after the earlier stages equals its
+    length now minus what earlier removals inside it took away (every removal takes exactly the live text of its
+    subtree, so nothing is counted twice). The page's candidates, ordered by (stage, position), are folded once per
+    page (on its first candidate row) and the result is spread over the page with an unordered window."""
+    n = element_measure(nodes, text_len(), "_tlen")
+    entries = F.filter(F.array(*[F.when(c, F.struct(F.lit(i).alias("stage"), F.col("pos"), F.col("end"), F.col("_tlen").alias("tlen")))
+                                 for i, c in enumerate(stages, start=1)]), lambda e: e.isNotNull())
+    is_cand = F.col("live") & IS_ELEM() & (F.size(entries) > 0)
+    n = n.withColumn("_e", F.when(is_cand, entries))
+    n = n.withColumn("_all", F.array_sort(F.flatten(F.collect_list("_e").over(PAGE()))))
+    first = is_cand & (F.col("pos") == F.col("_all")[0]["pos"])
+    fold = F.expr(f"""aggregate(_all, cast(array() as array<struct<pos:int,end:int,rem:bigint>>),
+        (acc, x) -> case
+          when exists(acc, r -> r.pos <= x.pos and x.pos < r.end) then acc
+          when x.tlen - aggregate(filter(acc, r -> x.pos <= r.pos and r.pos < x.end), cast(0 as bigint), (s, r) -> s + r.rem) <= {int(max_text)}
+            then array_append(acc, named_struct('pos', x.pos, 'end', x.end,
+                 'rem', x.tlen - aggregate(filter(acc, r -> x.pos <= r.pos and r.pos < x.end), cast(0 as bigint), (s, r) -> s + r.rem)))
+          else acc end)""")
+    n = n.withColumn("_rm", F.when(first, fold))
+    n = n.withColumn("_rm", F.when(F.size(F.col("_all")) > 0, F.max("_rm").over(PAGE())))
+    doomed = F.coalesce(F.exists(F.col("_rm"), lambda r: r["pos"] == F.col("pos")), F.lit(False))
+    return drop_subtrees(n, doomed).drop("_tlen", "_e", "_all", "_rm")
+
+
 def _ci_search(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike("(?i)" + pattern), F.lit(False))
 
@@ -120,12 +148,14 @@ def strip_chrome(nodes: DataFrame, opts) -> DataFrame:
         phase1 = phase1 | (elem & (((F.col("tag") == "div") & cls.contains("toolbar")) | ((F.col("tag") == "a") & cls.contains("copy"))))
     phase1 = phase1 | (elem & (F.col("tag") == "aside"))
     n = drop_subtrees(n, phase1)
-    # F4 role=complementary, then role=navigation (each with the 5000-char guard on the text left so far)
-    n = drop_guarded(n, elem & (F.coalesce(F.col("role"), F.lit("")) == "complementary"))
-    n = drop_guarded(n, elem & (F.coalesce(F.col("role"), F.lit("")) == "navigation"))
-    # F5 sidebar classes, F6 sidebar aria-labels (same guard)
-    n = drop_guarded(n, elem & _ci_search(F.col("cls"), K.SIDEBAR_CLASS_RE))
-    n = drop_guarded(n, elem & _ci_search(attr("aria-label"), K.SIDEBAR_ARIA_RE))
+    # F4 role=complementary, then role=navigation, F5 sidebar classes, F6 sidebar aria-labels: each with the
+    # 5000-char guard on the text left by the stages before it (one exact pass, see drop_guarded_stages)
+    n = drop_guarded_stages(n, [
+        F.coalesce(F.col("role"), F.lit("")) == "complementary",
+        F.coalesce(F.col("role"), F.lit("")) == "navigation",
+        _ci_search(F.col("cls"), K.SIDEBAR_CLASS_RE),
+        _ci_search(attr("aria-label"), K.SIDEBAR_ARIA_RE),
+    ])
     # F7 title
     n = drop_subtrees(n, elem & (F.col("tag") == "title"))
     # F8 branding

@@ -7,7 +7,8 @@ of recomputing the pages, and downstream plans start from a small leaf. The chec
 execution so that the written table keeps its ``hashpartitioning(page_id)``: consumers' windows, aggregates and
 joins keyed by page_id then run without another Exchange.
 
-``mode``: "checkpoint" (default), "persist" (MEMORY_AND_DISK, lineage kept) or "none".
+``mode``: "checkpoint" (default; the checkpointed table is also cached in memory for its several readers),
+"persist" (MEMORY_AND_DISK, lineage kept) or "none".
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ def materialize(df: DataFrame, mode: str = "checkpoint") -> DataFrame:
         prev = spark.conf.get("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         try:
-            return df.checkpoint(eager=True)
+            ck = df.checkpoint(eager=True)
         finally:
             spark.conf.set("spark.sql.adaptive.enabled", prev)
+    # the checkpoint files are the reliable copy; consumers read an in-memory columnar cache of them (a lost
+    # executor's cached blocks are re-read from the checkpoint files, not recomputed)
+    return ck.persist(StorageLevel.MEMORY_AND_DISK)
