@@ -39,13 +39,19 @@ ATTR_RE = r"[^\s\"'>/=]++(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?"
 
 _VOID = ", ".join(f"'{t}'" for t in K.VOID_TAGS)
 
+_RAW = ", ".join(f"'{t}'" for t in K.RAW_TAGS)
+TAG_SQL = "lower(regexp_extract(tok, '^</?([A-Za-z][^\\\\s/>]*)', 1))"
+
+# Token kind. A raw-text element is one token that ends with its own closing tag (only the raw alternatives of the
+# token pattern produce that); the check reads the token's tail only.
 KIND_SQL = f"""case
   when tok like '<!--%' then 'comment'
   when tok like '<!%' or tok like '<?%' then 'decl'
-  when tok like '</%' and tok rlike '^</[A-Za-z]' then 'close'
-  when tok rlike '(?is)^<(script|style|textarea|title)\\\\b.*</(script|style|textarea|title)\\\\s*>$' then 'raw'
+  when tok like '</%' then case when tok rlike '^</[A-Za-z]' then 'close' else 'text' end
   when tok rlike '^<[A-Za-z]' then
-    case when lower(regexp_extract(tok, '^<([A-Za-z][^\\\\s/>]*)', 1)) in ({_VOID}) or tok rlike '/>$' then 'void' else 'open' end
+    case when {TAG_SQL} in ({_RAW}) and right(tok, 40) rlike '(?i)</(script|style|textarea|title)\\\\s*>$' then 'raw'
+         when {TAG_SQL} in ({_VOID}) or tok like '%/>' then 'void'
+         else 'open' end
   else 'text' end"""
 
 NODE_STRUCT = "struct<p:int,e:int,d:int,par:int>"
@@ -161,17 +167,19 @@ def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html"
     """Node table, hash-partitioned by page_id (see module doc)."""
     pid = F.col("page_id") if key == "page_id" else F.col(key).alias("page_id")
     toks = pages.select(pid, F.regexp_extract_all(F.col(html), F.lit(TOKEN_RE), 1).alias("toks"))
-    ev = toks.select(
-        "page_id", "toks", F.size("toks").cast("int").alias("n_tok"),
+    # kind and tag are computed once per token here and carried to the rows
+    kinds = toks.select("page_id", "toks", F.expr(f"transform(toks, tok -> {KIND_SQL})").alias("kinds"))
+    ev = kinds.select(
+        "page_id", "toks", "kinds", F.size("toks").cast("int").alias("n_tok"),
         F.expr(f"""transform(toks, (tok, i) -> named_struct(
-            'k', case ({KIND_SQL}) when 'open' then 1 when 'close' then 2 else 0 end,
-            't', lower(regexp_extract(tok, '^</?([A-Za-z][^\\\\s/>]*)', 1)),
+            'k', case kinds[i] when 'open' then 1 when 'close' then 2 else 0 end,
+            't', case when kinds[i] in ('open', 'close', 'void', 'raw') then {TAG_SQL} end,
             'p', i))""").alias("ev"),
     )
     big = F.col("n_tok") > F.lit(int(opts.native_nesting_max_events))
     walk = _stack_walk_udf()
     nested = ev.select(
-        "page_id", "toks",
+        "page_id", "toks", "ev", "kinds",
         F.coalesce(
             F.when(~big, F.expr(NEST_SQL)),
             walk(F.when(big, F.expr("transform(ev, e -> e.k)")), F.when(big, F.expr("transform(ev, e -> e.t)"))),
@@ -187,11 +195,9 @@ def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html"
         "page_id",
         F.inline(F.transform("out", lambda o: F.struct(
             o["p"].alias("pos"), o["e"].alias("end"), o["d"].alias("depth"), o["par"].alias("parent"),
-            F.element_at("toks", o["p"] + 1).alias("tok")))),
+            F.element_at("toks", o["p"] + 1).alias("tok"), F.element_at("kinds", o["p"] + 1).alias("kind"),
+            F.element_at("ev", o["p"] + 1)["t"].alias("tag")))),
     )
-    rows = rows.withColumn("kind", F.expr(KIND_SQL))
-    is_tag = F.col("kind").isin("open", "void", "raw", "close")
-    rows = rows.withColumn("tag", F.when(is_tag, F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][^\s/>]*)", 1))))
     rows = rows.withColumn("amap", F.when(F.col("kind").isin("open", "void", "raw"), attr_map(_attrs(F.col("tok")))))
     raw_body = F.regexp_extract("tok", r"(?is)^<[a-z][^>]*+>(.*)</[a-z]+\s*>$", 1)
     text = (
