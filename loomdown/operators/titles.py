@@ -48,60 +48,62 @@ def element_texts(indexed: DataFrame, elems: DataFrame) -> DataFrame:
 
 
 def title_candidates(nodes: DataFrame) -> DataFrame:
-    """All elements any strategy may read, tagged (src, r1, r2) with their within-strategy order."""
+    """All elements any strategy may read, tagged (src, r1, r2) with their within-strategy order.
+
+    The single-element strategies (T2 attributes, T5 user attributes, T6 title, T7 first three h1) come from one
+    aggregate per page; T3/T4 join each page's first few containers to its active-class items."""
     el = nodes.where(ELEM())
-    parts = []
-    # First element per active attribute (r1 = attribute rank)
+    pe = F.struct("pos", "end")
+    aggs = []
     for i, (a, v) in enumerate(K.ACTIVE_ATTRS, start=1):
-        parts.append(el.where(F.coalesce(attr(a) == v, F.lit(False))).groupBy("page_id").agg(F.min(F.struct("pos", "end")).alias("m"))
-                     .select("page_id", "m.pos", "m.end", F.lit("attr").alias("src"), F.lit(i).alias("r1"), F.lit(0).alias("r2")))
+        aggs.append(F.min(F.when(F.coalesce(attr(a) == v, F.lit(False)), pe)).alias(f"attr{i}"))
+    for i, (a, v) in enumerate(K.USER_ATTRS, start=1):
+        aggs.append(F.min(F.when(F.coalesce(attr(a) == v, F.lit(False)), pe)).alias(f"user{i}"))
+    aggs.append(F.min(F.when(F.col("tag") == "title", pe)).alias("title1"))
+    aggs.append(F.slice(F.array_sort(F.collect_list(F.when(F.col("tag") == "h1", pe))), 1, 3).alias("h1s"))
+    firsts = el.groupBy("page_id").agg(*aggs)
+
+    def cand(c, src, r1):
+        return F.when(c.isNotNull(), F.struct(c["pos"].alias("pos"), c["end"].alias("end"), F.lit(src).alias("src"),
+                                              F.lit(r1).alias("r1"), F.lit(0).alias("r2")))
+
+    items = [cand(F.col(f"attr{i}"), "attr", i) for i in range(1, len(K.ACTIVE_ATTRS) + 1)]
+    items += [cand(F.col(f"user{i}"), "user", i) for i in range(1, len(K.USER_ATTRS) + 1)]
+    items += [cand(F.col("title1"), "title", 1)]
+    items += [cand(F.try_element_at(F.col("h1s"), F.lit(i)), "h1", i) for i in range(1, 4)]
+    singles = firsts.select("page_id", F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
+
     # Active-class items in the first containers (r1 = container order, r2 = item position)
     active = el.where(F.coalesce(F.col("cls").rlike("(?i)" + K.ACTIVE_CLASS_RE), F.lit(False))).select(
         "page_id", F.col("pos").alias("ipos"), F.col("end").alias("iend"))
-
-    def contained(containers, src):
-        c = containers.select("page_id", F.col("pos").alias("cpos"), F.col("end").alias("cend"), "crank")
-        j = c.join(active, "page_id").where((F.col("ipos") > F.col("cpos")) & (F.col("ipos") < F.col("cend")))
-        j = j.withColumn("irank", F.row_number().over(Window.partitionBy("page_id", "crank").orderBy("ipos"))).where(F.col("irank") <= 5)
-        return j.select("page_id", F.col("ipos").alias("pos"), F.col("iend").alias("end"), F.lit(src).alias("src"),
-                        F.col("crank").alias("r1"), F.col("ipos").alias("r2"))
-
     rn = Window.partitionBy("page_id").orderBy("pos")
-    sidebars = el.where(F.col("tag").isin("aside", "nav")).withColumn("crank", F.row_number().over(rn)).where(F.col("crank") <= 5)
-    parts.append(contained(sidebars, "class"))
-    roles = []
-    for i, role in enumerate(["complementary", "navigation"]):
-        r = el.where(F.coalesce(F.col("role") == role, F.lit(False))).withColumn("crank", F.row_number().over(rn))
-        roles.append(r.where(F.col("crank") <= 3).withColumn("crank", F.col("crank") + 10 * i))
-    parts.append(contained(roles[0].unionByName(roles[1]), "role"))
-    # T5: first element per user attribute
-    for i, (a, v) in enumerate(K.USER_ATTRS, start=1):
-        parts.append(el.where(F.coalesce(attr(a) == v, F.lit(False))).groupBy("page_id").agg(F.min(F.struct("pos", "end")).alias("m"))
-                     .select("page_id", "m.pos", "m.end", F.lit("user").alias("src"), F.lit(i).alias("r1"), F.lit(0).alias("r2")))
-    # First title; T7: first 3 h1
-    parts.append(el.where(F.col("tag") == "title").groupBy("page_id").agg(F.min(F.struct("pos", "end")).alias("m"))
-                 .select("page_id", "m.pos", "m.end", F.lit("title").alias("src"), F.lit(1).alias("r1"), F.lit(0).alias("r2")))
-    h1 = el.where(F.col("tag") == "h1").withColumn("r1", F.row_number().over(rn)).where(F.col("r1") <= 3)
-    parts.append(h1.select("page_id", "pos", "end", F.lit("h1").alias("src"), "r1", F.lit(0).alias("r2")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    role = F.coalesce(F.col("role"), F.lit(""))
+    box = el.where(F.col("tag").isin("aside", "nav") | role.isin("complementary", "navigation")).select(
+        "page_id", "pos", "end", F.col("tag").isin("aside", "nav").alias("side"), role.alias("r"))
+    side = box.where("side").withColumn("crank", F.row_number().over(rn)).where(F.col("crank") <= 5).withColumn("src", F.lit("class"))
+    rw = Window.partitionBy("page_id", "r").orderBy("pos")
+    roles = box.where(F.col("r").isin("complementary", "navigation")).withColumn("crank", F.row_number().over(rw)).where(
+        F.col("crank") <= 3).withColumn("crank", F.col("crank") + F.when(F.col("r") == "navigation", 10).otherwise(0)).withColumn("src", F.lit("role"))
+    cont = side.unionByName(roles).select("page_id", F.col("pos").alias("cpos"), F.col("end").alias("cend"), "crank", "src")
+    j = cont.join(active, "page_id").where((F.col("ipos") > F.col("cpos")) & (F.col("ipos") < F.col("cend")))
+    j = j.withColumn("irank", F.row_number().over(Window.partitionBy("page_id", "src", "crank").orderBy("ipos"))).where(F.col("irank") <= 5)
+    boxed = j.select("page_id", F.col("ipos").alias("pos"), F.col("iend").alias("end"), "src", F.col("crank").alias("r1"), F.col("ipos").alias("r2"))
+    return singles.unionByName(boxed)
 
 
 def meta_titles(nodes: DataFrame) -> DataFrame:
     """Og:title then twitter:title; per name the first meta with property=name, else with name=name."""
     meta = nodes.where(ELEM() & (F.col("tag") == "meta"))
-    res = None
+    aggs = []
     for i, nm in enumerate(["og:title", "twitter:title"], start=1):
-        by_prop = meta.where(F.coalesce(attr("property") == nm, F.lit(False))).groupBy("page_id").agg(
-            F.min_by(attr("content"), "pos").alias("c_prop"), F.lit(True).alias("has_prop"))
-        by_name = meta.where(F.coalesce(attr("name") == nm, F.lit(False))).groupBy("page_id").agg(F.min_by(attr("content"), "pos").alias("c_name"))
-        m = by_prop.join(by_name, "page_id", "full_outer")
-        content = F.when(F.col("has_prop"), F.col("c_prop")).otherwise(F.col("c_name"))
-        m = m.select("page_id", F.when(F.coalesce(content, F.lit("")) != "", clean_title(content)).alias(f"m{i}"))
-        res = m if res is None else res.join(m, "page_id", "full_outer")
-    return res.select("page_id", F.coalesce("m1", "m2").alias("t_meta"))
+        aggs.append(F.min(F.when(F.coalesce(attr("property") == nm, F.lit(False)), F.struct("pos", attr("content").alias("c")))).alias(f"p{i}"))
+        aggs.append(F.min(F.when(F.coalesce(attr("name") == nm, F.lit(False)), F.struct("pos", attr("content").alias("c")))).alias(f"n{i}"))
+    m = meta.groupBy("page_id").agg(*aggs)
+    outs = []
+    for i in (1, 2):
+        content = F.when(F.col(f"p{i}").isNotNull(), F.col(f"p{i}.c")).otherwise(F.col(f"n{i}.c"))
+        outs.append(F.when(F.coalesce(content, F.lit("")) != "", clean_title(content)))
+    return m.select("page_id", F.coalesce(*outs).alias("t_meta"))
 
 
 def page_titles(nodes: DataFrame) -> DataFrame:
