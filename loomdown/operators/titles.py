@@ -107,19 +107,23 @@ def meta_titles(nodes: DataFrame) -> DataFrame:
 
 
 def page_titles(nodes: DataFrame) -> DataFrame:
-    """(page_id, title, source) for every page that has one strategy answer; pages without any are absent."""
+    """(page_id, title, source) for every page that has one strategy answer; pages without any are absent.
+
+    A page's few candidates are collected in strategy order (hash aggregate, no sort) and the title rules run inside a
+    lambda over that short list; the first non-NULL answer wins."""
     idx = with_piece_index(nodes)
     texts = element_texts(idx, title_candidates(nodes))
-    # one instance of each rule (keeps the generated code small): sidebar items join pieces with a space,
-    # <title> and h1 without one; the user-turn rule does not clean platform names
-    raw = F.when(F.col("src").isin("attr", "class", "role"), F.col("text_sp")).otherwise(F.col("text_nosp"))
-    texts = texts.withColumn("_raw", raw).withColumn(
-        "_clean", F.when(F.col("src") != "user", clean_title(F.col("_raw")))).withColumn(
-        "_user", F.when(F.col("src") == "user", user_turn_title(F.col("text_sp"))))
-    val = F.coalesce(F.col("_clean"), F.col("_user"))
     prio = F.create_map(*[x for i, s in enumerate(["attr", "class", "role", "user", "title", "h1"]) for x in (F.lit(s), F.lit(i))])[F.col("src")]
-    best = texts.withColumn("val", val).where(F.col("val").isNotNull()).groupBy("page_id").agg(
-        F.min_by(F.struct(F.col("val").alias("title"), F.col("src").alias("source")), F.struct(prio, "r1", "r2")).alias("b"))
+    per_page = texts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
+        prio.alias("prio"), "r1", "r2", "src", "text_sp", "text_nosp"))).alias("cs"))
+
+    def value(c):
+        boxed = c["src"].isin("attr", "class", "role")
+        clean = clean_title(F.when(boxed, c["text_sp"]).otherwise(c["text_nosp"]))
+        return F.struct(c["src"].alias("source"), F.when(c["src"] == "user", user_turn_title(c["text_sp"])).otherwise(clean).alias("title"))
+
+    vals = F.filter(F.transform("cs", value), lambda v: v["title"].isNotNull())
+    best = per_page.select("page_id", F.try_element_at(vals, F.lit(1)).alias("b")).where(F.col("b").isNotNull())
     best = best.select("page_id", "b.title", "b.source")
     meta = meta_titles(nodes).where(F.col("t_meta").isNotNull()).select("page_id", F.col("t_meta").alias("mt"))
     j = best.join(meta, "page_id", "full_outer")
