@@ -56,3 +56,27 @@ def test_stream_equals_batch(spark, opts):
     want = {os.path.basename(r.path): (r.title, r.markdown) for r in notes_batch(batch, opts).collect()}
     assert got == want
     assert got["a.html"] == ("Alpha Note", "# Alpha Note\n\nBody of Alpha Note.")
+
+
+def test_folder_notes(spark, opts):
+    from loomdown.plans.folder import folder_notes
+
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    same = "<html><head><title>Same Title</title></head><body><main><p>{b}</p></main></body></html>"
+    for name, body in [("a.html", "first"), ("b.html", "second")]:
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write(same.format(b=body))
+    with open(os.path.join(d, "c.htm"), "w", encoding="utf-8") as f:
+        f.write(PAGE.format(t="Other"))
+    with open(os.path.join(d, "bad.html"), "wb") as f:
+        f.write(b"\xff\xfe")
+    notes, files, summary = folder_notes(spark, d, opts)
+    s = summary.first()
+    assert (s.exported, s.total) == (3, 4)
+    by_name = {r.file_name: r for r in files.collect()}
+    assert set(by_name) == {"Same_Title.md", "Other.md"}
+    assert by_name["Same_Title.md"].path.endswith("b.html") and by_name["Same_Title.md"].content.endswith("second")
+    _, merged, _ = folder_notes(spark, d, opts, merge_target="All")
+    pieces = sorted(merged.collect(), key=lambda r: r.path)
+    assert [os.path.basename(r.path) for r in pieces] == ["a.html", "b.html", "c.htm"]
+    assert pieces[0].piece.startswith("---\n") and pieces[1].piece.startswith("\n\n---\n\n# Same Title")
