@@ -80,3 +80,21 @@ def test_folder_notes(spark, opts):
     pieces = sorted(merged.collect(), key=lambda r: r.path)
     assert [os.path.basename(r.path) for r in pieces] == ["a.html", "b.html", "c.htm"]
     assert pieces[0].piece.startswith("---\n") and pieces[1].piece.startswith("\n\n---\n\n# Same Title")
+
+
+def test_listener_phrase_requests(spark, opts):
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    chat = ('<html><body><main><div data-message-author-role="user"><p>How do I sort a list in Python?</p></div>'
+            '<div data-message-author-role="assistant"><p>Use sorted(items) or items.sort() for in place.</p></div>'
+            '</main></body></html>')
+    with open(os.path.join(d, "chat.html"), "w", encoding="utf-8") as f:
+        f.write(chat)
+    req = spark.createDataFrame([(1, f"{d}/chat.html", "sort a list"), (2, f"{d}/chat.html", "no such words")],
+                                "phrase_id long, path string, phrase string")
+    out = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    ck = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    q = start_listener(spark, d, out + "/answers", ck, opts, requests=req)
+    q.awaitTermination(300)
+    got = {r.phrase_id: r for r in spark.read.parquet(out + "/answers").collect()}
+    assert got[1].status == "ok" and got[1].markdown == "Use sorted(items) or items.sort() for in place."
+    assert got[1].title == "Sort a List" and got[2].status == "phrase_not_found"
