@@ -3,8 +3,8 @@
 
 Physical notes
 * A request is (page, phrase): phrases are asked on a page, as in the interactive tool. J1 is an equi-join on
-  ``page_id`` plus a substring test, so there is no cross join and no all-pages x all-phrases product; the node side
-  is already partitioned by ``page_id``.
+  ``page_id`` plus a substring test, so there is no cross join and no all-pages x all-phrases product. A page with
+  many requests is salted into buckets of 64 requests (``salted_join``) so its strings x phrases work is spread.
 * J2/J3 are windows over the node table (container level + nearest following qualifying div), no range joins.
 * An answer block's rows are fetched by exploding its position range and equi-joining on (page_id, pos).
 """
@@ -38,13 +38,27 @@ def message_of(status) -> F.Column:
     return m[status]
 
 
+REQUESTS_PER_TASK = 64
+
+
+def salted_join(texts: DataFrame, req: DataFrame) -> DataFrame:
+    """Equi-join of a page's strings with the page's phrase requests, salted for hot pages: a page with n requests
+    is split into ceil(n / 64) buckets (requests by hash, the page's strings replicated per bucket), so one page with
+    a huge number of phrases spreads over many tasks. Pages with few requests keep one bucket."""
+    buckets = req.groupBy("page_id").agg(F.count("*").alias("_n")).select(
+        "page_id", F.greatest(F.lit(1), F.ceil(F.col("_n") / REQUESTS_PER_TASK)).cast("int").alias("_b"))
+    r = req.join(buckets, "page_id").withColumn("_s", F.pmod(F.xxhash64("phrase_id"), F.col("_b")).cast("int")).drop("_b")
+    t = texts.join(buckets, "page_id").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_b")
+    return t.join(r, ["page_id", "_s"]).drop("_s")
+
+
 def phrase_hits(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """(page_id, phrase_id, hit) = first node (document order, before clean-up) whose string contains the phrase,
     case-insensitively. Every string counts: text, title/script/style bodies, comments, declarations."""
     texts = nodes.where((F.col("ord") == 0) & F.col("any_text").isNotNull()).select(
         "page_id", "pos", F.lower("any_text").alias("low"))
     req = requests.select("page_id", "phrase_id", F.lower("phrase").alias("lp"))
-    j = texts.join(req, "page_id").where(F.col("low").contains(F.col("lp")))
+    j = salted_join(texts, req).where(F.col("low").contains(F.col("lp")))
     return j.groupBy("page_id", "phrase_id").agg(F.min("pos").alias("hit"))
 
 
@@ -116,7 +130,7 @@ def turn_answers(conversations: DataFrame, requests: DataFrame, opts, titles: Da
     turns = conversations.withColumn("next_ans", F.last(F.when(qual, F.struct("turn", "text")), ignorenulls=True).over(rev))
     users = turns.where(F.col("role") == "user").select(F.col("conv_id").alias("page_id"), "turn", F.lower("text").alias("low"), "next_ans")
     req = requests.select("page_id", "phrase_id", "phrase", F.lower("phrase").alias("lp"))
-    j = users.join(req.select("page_id", "phrase_id", "lp"), "page_id").where(F.col("low").contains(F.col("lp")))
+    j = salted_join(users, req.select("page_id", "phrase_id", "lp")).where(F.col("low").contains(F.col("lp")))
     hits = j.groupBy("page_id", "phrase_id").agg(F.min_by("next_ans", "turn").alias("a"), F.min("turn").alias("hit"))
     out = req.join(hits, ["page_id", "phrase_id"], "left")
     status = F.when(F.col("hit").isNull(), "phrase_not_found").when(F.col("a").isNull(), "no_answer").otherwise("ok")

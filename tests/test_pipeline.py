@@ -83,3 +83,23 @@ def test_oracle_match(spark, name):
     d = sorted(tuple(str(v) for _, v in sorted(zip(cols, row))) for row in res.fetchall())
     assert sorted(sdf.columns) == sorted(cols)
     assert s == d
+
+
+def test_hot_page_phrase_salting(spark, opts):
+    """A page with 150 requests is split into 3 buckets; hits equal a brute-force scan."""
+    from loomdown.operators.nodes import build_nodes
+    from loomdown.plans.answers import phrase_hits
+
+    words = [f"w{i:03d}" for i in range(120)]
+    html = "<div>" + "".join(f"<p>{' '.join(words[i:i + 10])}</p>" for i in range(0, 120, 10)) + "</div>"
+    phrases = [(k, 7, f"{words[k]} {words[k + 1]}") for k in range(119)] + [(1000 + k, 7, f"zz{k}") for k in range(31)]
+    pages = spark.createDataFrame([(7, html)], "page_id long, html string")
+    req = spark.createDataFrame(phrases, "phrase_id long, page_id long, phrase string")
+    got = {r.phrase_id: r.hit for r in phrase_hits(build_nodes(pages, opts), req).collect()}
+    # brute force: token positions of the <p> texts (each text node follows its <p> open tag)
+    want = {}
+    for k in range(119):
+        block = k // 10
+        if (k + 1) // 10 == block:  # both words inside one paragraph
+            want[k] = 2 + 3 * block
+    assert got == want
