@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -151,12 +152,18 @@ class Encoder:
         return b"".join(map(self.vocab.__getitem__, ids))
 
 
+@lru_cache(maxsize=4)
+def encoder(rank_file: str, pattern: str) -> Encoder:
+    """One encoder a Python worker: its table of known chunks serves all tasks that the worker runs."""
+    return Encoder(rank_file, pattern)
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row; null text is empty and has no ids."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(rank_file, pattern)
+        enc = encoder(rank_file, pattern)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.encode(t.as_py() or "") for t in b.column(1)], pa.list_(pa.int32()))], names=["id", "ids"])
 
@@ -168,7 +175,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, id_col: s
     src = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(rank_file, pattern)
+        enc = encoder(rank_file, pattern)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(x.as_py() or []) for x in b.column(1)], pa.binary())], names=["id", "bytes"])
 
@@ -184,7 +191,7 @@ def roundtrip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(rank_file, pattern)
+        enc = encoder(rank_file, pattern)
         sha = hashlib.sha256
         for b in batches:
             n, ids_sha, dec_sha = [], [], []

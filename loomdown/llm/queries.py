@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomdown.llm.common import read_table
+from loomdown.llm.common import held_out, read_table
+
+
+def op1_lang_id(spark, sf_dir):
+    from loomdown.llm.lang_id import fit, predict
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    got = predict(docs, fit(docs.where(~held_out() & F.col("doc_id").isNotNull())))
+    return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op4_simhash(spark, sf_dir):
@@ -30,6 +38,15 @@ def op7_bpe(spark, sf_dir):
     return roundtrip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_toxicity(spark, sf_dir):
+    from loomdown.llm.toxicity import fit, score
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels")
+    got = score(docs, fit(docs.where(~held_out()), labels.where(~held_out())))
+    return got.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_exact_dedup(spark, sf_dir):
     from loomdown.llm.exact_dedup import exact_dedup
 
@@ -37,9 +54,11 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_lang_id": op1_lang_id,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_bpe": op7_bpe,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
