@@ -38,6 +38,12 @@ def op7_bpe(spark, sf_dir):
     return roundtrip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_decontam(spark, sf_dir):
+    from loomdown.llm.decontam import contamination
+
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark, sf_dir):
     from loomdown.llm.toxicity import fit, score
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_bpe": op7_bpe,
+    "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
