@@ -15,6 +15,17 @@ def op1_lang_id(spark, sf_dir):
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from loomdown.llm.packing import pack, unpack_documents
+
+    pieces, folder = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    back = unpack_documents(pieces, folder)
+    return pieces.join(back, ["doc_id", "shard", "piece"], "left").select(
+        "doc_id", "n_tokens", "piece", "shard", "row", "row_offset", "length", "sha256", "segment_ok")
+
+
 def op4_simhash(spark, sf_dir):
     from loomdown.llm.simhash import simhash_components
 
@@ -30,6 +41,12 @@ def op5_line_dedup(spark, sf_dir):
                     F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_warc(spark, sf_dir):
+    from loomdown.llm.warc import archive_roundtrip
+
+    return archive_roundtrip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -61,8 +78,10 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_lang_id": op1_lang_id,
+    "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
@@ -81,6 +100,14 @@ f as (select doc_id, text, ls, list_filter(ls, lambda l: not list_contains(ks, {
 select doc_id, len(ls)::bigint as n_lines, (len(ls) - len(kept))::bigint as n_removed,
        sha256(coalesce(array_to_string(kept, chr(10)), '')) as kept_sha256
 from f""",
+    "op6_warc": f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as d from pages)
+select page_id, octet_length(encode(html)) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(d, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1)::bigint, 1)), '') as payload_digest,
+       case when page_id = max(page_id) over w then 'response' else 'revisit' end as record_type,
+       case when page_id <> max(page_id) over w then max(page_id) over w end as refers_to
+from p window w as (partition by html)""",
     "op10_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
