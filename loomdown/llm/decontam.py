@@ -187,49 +187,72 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null and empty texts hold nothing; items without at least two words are not searched for. Repeated rows are reported once
     each; an item repeated under several ids is reported under each. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    base = items.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("t"))
-    n, size, mean_len = base.agg(F.count("*"), F.sum(F.octet_length("t")), F.avg(F.size(F.split("t", r"\s+")))).first()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    base = items.select(F.col(item_col).alias("item"))
     id_type, item_type = src.schema["id"].dataType.simpleString(), base.schema["item"].dataType.simpleString()
+    arrow = base.limit(0).toArrow().schema.field("item").type
     schema = f"id {id_type}, item {item_type}, score double, question_overlap double, answer_overlap double"
-    out = spark.createDataFrame([], schema)
-    blocks = max(math.ceil(n / items_per_index), math.ceil((size or 0) / BYTES_PER_INDEX)) if n else 0
+    out = docs.sparkSession.createDataFrame([], schema)
+    for sent in _indexes(items, item_col, item_text_col, items_per_index):
+        out = out.unionByName(_pass(src, sent, threshold, min_overlap, schema, arrow))
+    return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
+
+
+def _indexes(items: DataFrame, item_col: str, text_col: str, items_per_index: int) -> Iterator:
+    """Broadcast indexes of blocks of items, each bounded by ``items_per_index`` (about) and BYTES_PER_INDEX."""
+    base = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("t"))
+    n, size, mean_len = base.agg(F.count("*"), F.sum(F.octet_length("t")), F.avg(F.size(F.split("t", r"\s+")))).first()
+    blocks = max(math.ceil(n / items_per_index), math.ceil((size or 0) / BYTES_PER_INDEX))
     pairs_of = F.udf(_pairs, "array<string>")
     base = base.withColumn("block", F.pmod(F.xxhash64("item", "t"), F.lit(max(1, blocks))))
     pairs = base.select("block", F.explode(pairs_of("t")).alias("pair"))
-    df_all = pairs.groupBy("pair").agg(F.count("*").alias("df"))
-    arrow_types = [src.limit(0).toArrow().schema.field("id").type, base.select("item").limit(0).toArrow().schema.field("item").type]
+    counts = pairs.groupBy("pair").agg(F.count("*").alias("df"))
     for k in range(blocks):
-        # bounded by items_per_index and BYTES_PER_INDEX
         rows = [(r.item, r.t) for r in base.where(F.col("block") == k).orderBy("item", "t").collect()]
         own = pairs.where(F.col("block") == k).select("pair").distinct()
-        df = {r.pair: r.df for r in df_all.join(own, "pair", "left_semi").collect()}
-        sent = spark.sparkContext.broadcast(Index(rows, df, n, mean_len))
-        out = out.unionByName(_pass(src, sent, threshold, min_overlap, schema, arrow_types))
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
+        df = {r.pair: r.df for r in counts.join(own, "pair", "left_semi").collect()}
+        yield items.sparkSession.sparkContext.broadcast(Index(rows, df, n, mean_len))
+
+
+def _scanner(index: Index, threshold: float, min_overlap: float):
+    """Text -> verified items with score and overlaps; remembers the word numbers of raw tokens."""
+    number = Bounded(lambda tok: index.vocab.get(w, -1) if (w := norm(tok)) else -2, 500_000)
 
+    def found(text: str | None) -> list[tuple]:
+        toks = (text or "").lower().split()
+        ids = np.fromiter(map(number.__getitem__, toks), dtype=np.int64, count=len(toks))
+        ids = ids[ids > -2]  # punctuation between words is skipped
+        return [(index.ids[item], *v) for item, v in sorted(scan(ids, index, threshold, min_overlap).items())]
 
-def _pass(src: DataFrame, sent, threshold: float, min_overlap: float, schema: str, arrow_types: list) -> DataFrame:
+    return found
+
+
+def _pass(src: DataFrame, sent, threshold: float, min_overlap: float, schema: str, arrow: pa.DataType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = sent.value
-        number = Bounded(lambda tok: index.vocab.get(w, -1) if (w := norm(tok)) else -2, 500_000)
+        found = _scanner(sent.value, threshold, min_overlap)
         for b in batches:
-            out = []
-            for i, t in enumerate(b.column(1)):
-                toks = (t.as_py() or "").lower().split()
-                ids = np.fromiter(map(number.__getitem__, toks), dtype=np.int64, count=len(toks))
-                ids = ids[ids > -2]  # punctuation between words is skipped
-                out += [(i, index.ids[item], *v) for item, v in sorted(scan(ids, index, threshold, min_overlap).items())]
+            out = [(i, *x) for i, t in enumerate(b.column(1)) for x in found(t.as_py())]
             at = pa.array([r[0] for r in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), pa.array([r[1] for r in out], arrow_types[1]), *[pa.array([r[j] for r in out], pa.float64()) for j in (2, 3, 4)]],
+                [b.column(0).take(at), pa.array([r[1] for r in out], arrow), *[pa.array([r[j] for r in out], pa.float64()) for j in (2, 3, 4)]],
                 names=["id", "item", "score", "question_overlap", "answer_overlap"])
 
     return src.mapInArrow(run, schema)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id holds no test item (rows with a null id stay if none with a null id holds one)."""
-    bad = contamination(docs, items, id_col, **options).select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                      threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP, items_per_index: int = ITEMS_PER_INDEX) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no test item (one pass per index, no join)."""
+    at = docs.columns.index(text_col)
+    for sent in _indexes(items, item_col, item_text_col, items_per_index):
+        docs = _without(docs, sent, at, threshold, min_overlap)
+    return docs
+
+
+def _without(docs: DataFrame, sent, at: int, threshold: float, min_overlap: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _scanner(sent.value, threshold, min_overlap)
+        for b in batches:
+            yield b.filter(pa.array([not found(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

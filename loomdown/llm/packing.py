@@ -209,7 +209,7 @@ def read_shard(folder: str, shard: int) -> dict[str, np.ndarray]:
 
 
 def unpack_documents(pieces: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, shard, piece, sha256 of the piece's ids as little-endian bytes, segment_ok) read back from the written shards."""
+    """(id, shard, piece, row, row_offset, sha256 of the piece's ids as little-endian bytes, segment_ok) read back from the written shards."""
     src = pieces.where(F.col("piece").isNotNull()).select(F.col(id_col).alias("id"), "shard", "piece", "row", "row_offset", "length")
     n = max(1, pieces.select("shard").distinct().count())
     dealt = src.repartition(n, "shard").sortWithinPartitions("shard", "row", "row_offset")
@@ -227,10 +227,10 @@ def unpack_documents(pieces: DataFrame, folder: str, id_col: str = "doc_id") ->
                 cu = a["cu_seqlens"][a["row_index"][row]: a["row_index"][row + 1]]
                 k = int(np.searchsorted(cu, off))
                 ok.append(k + 1 < len(cu) and int(cu[k]) == off and int(cu[k + 1]) == off + length)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sha, pa.string()), pa.array(ok, pa.bool_())],
-                                             names=["id", "shard", "piece", "sha256", "segment_ok"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(4), pa.array(sha, pa.string()), pa.array(ok, pa.bool_())],
+                                             names=["id", "shard", "piece", "row", "row_offset", "sha256", "segment_ok"])
 
-    out = dealt.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, shard int, piece int, sha256 string, segment_ok boolean")
+    out = dealt.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, shard int, piece int, row int, row_offset int, sha256 string, segment_ok boolean")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -22,10 +22,18 @@ def op2_packing(spark, sf_dir):
 
     pieces, folder = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     back = unpack_documents(pieces, folder)
-    return pieces.join(back, ["doc_id", "shard", "piece"], "left").select(
+    back = back.select("shard", "row", "row_offset", "sha256", "segment_ok")
+    return pieces.join(back, ["shard", "row", "row_offset"], "left").select(
         "doc_id", "n_tokens", "piece", "shard", "row", "row_offset", "length", "sha256", "segment_ok")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    from loomdown.llm.suffix_dedup import remove_repeats
+
+    r = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark, sf_dir):
     from loomdown.llm.simhash import simhash_components
 
@@ -79,6 +87,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op1_lang_id": op1_lang_id,
     "op2_packing": op2_packing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,

@@ -112,10 +112,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The input's rows without near duplicates: of each component the row with the smallest id stays.
 
-    Repeated rows of one id are one document: the smallest text among them stays, once.
+    Rows repeating an id are one document, of which one row stays (of different texts that of the smallest text hash).
     """
     comp = simhash_components(docs, id_col, text_col, shingle)
-    stay = comp.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stay_id")).distinct()
+    stay = written(comp.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stay_id")))
     names = docs.columns
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["stay_id"]), "left_semi").select(*[F.col(f"`{c}`") for c in names])
-    return kept.dropDuplicates([id_col])
+    kept = docs.join(stay.distinct(), docs[id_col].eqNullSafe(F.col("stay_id")), "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    if stay.count() == stay.distinct().count():
+        return kept
+    t = F.col(text_col)
+    low = kept.groupBy(F.col(id_col).alias("low_id")).agg(F.min(F.coalesce(F.xxhash64(t), F.lit(0))).alias("low"))
+    one = kept.join(low, kept[id_col].eqNullSafe(F.col("low_id")) & (F.coalesce(F.xxhash64(t), F.lit(0)) == F.col("low")), "left_semi")
+    return one.dropDuplicates([id_col])

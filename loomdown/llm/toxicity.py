@@ -166,20 +166,41 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        clean = re.compile(r"[^\W\d_]+").findall
-        # a raw token may hold several words; most tokens weigh nothing
-        known = Bounded(lambda tok: [(w, x) for w in clean(tok) if (x := m.word(w))], 300_000)
+        p_of = _scorer(sent.value)
         for b in batches:
-            logits = np.empty(b.num_rows)
-            for i, t in enumerate(b.column(1)):
-                hits = {}
-                for tok in set((t.as_py() or "").lower().split()):
-                    if got := known[tok]:
-                        hits.update(got)
-                logits[i] = m.bias + sum(hits.values())
-            p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+            p = p_of(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
     out = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text scores below the threshold (one pass, no join)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p_of = _scorer(sent.value)
+        for b in batches:
+            yield b.filter(pa.array(p_of(b.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scorer(m: Model):
+    """Arrow text column -> scores; a table remembers what raw tokens weigh (most weigh nothing)."""
+    clean = re.compile(r"[^\W\d_]+").findall
+    known = Bounded(lambda tok: [(w, x) for w in clean(tok) if (x := m.word(w))], 300_000)
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        logits = np.empty(len(texts))
+        for i, t in enumerate(texts):
+            hits = {}
+            for tok in set((t.as_py() or "").lower().split()):
+                if got := known[tok]:
+                    hits.update(got)
+            logits[i] = m.bias + sum(hits.values())
+        return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+
+    return scores
