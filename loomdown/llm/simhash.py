@@ -66,20 +66,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
 
 
-def _cells(fp: Column, segments: int) -> list[Column]:
-    """The fingerprint's grid cell and its neighbours one step away; a cell is the packed vector (4 bits an axis)."""
-    width = 64 // segments
-    counts = [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for i in range(segments)]
+def _cell(fp: Column) -> Column:
+    """The fingerprint's own grid cell: its vector packed with 4 bits an axis."""
+    width = 64 // SEGMENTS
     own = F.lit(0).cast("long")
-    for i, c in enumerate(counts):
-        own = own.bitwiseOR(F.shiftleft(c + 1, 4 * i))  # +1 keeps a step down from borrowing
-    steps = [(1 << (4 * i)) if i < 15 else (1 << 60) for i in range(segments)]
-    return [own, *[own + F.lit(s) for s in steps], *[own - F.lit(s) for s in steps]]
+    for i in range(SEGMENTS):
+        count = F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1))).cast("long")
+        own = own.bitwiseOR(F.shiftleft(count + 1, 4 * i))  # +1 keeps a step down from borrowing
+    return own
+
+
+#: What leads from a cell to itself and to its neighbours one step away.
+_STEPS = [0, *[sign * (1 << 4 * i) for i in range(SEGMENTS) for sign in (1, -1)]]
 
 
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(u, v) links with Hamming distance 1..2 between distinct fingerprints, enough to connect all that lie so near."""
-    reg = fps.select("fp", F.explode(F.array(*_cells(F.col("fp"), SEGMENTS))).alias("cell"))
+    steps = F.array(*[F.lit(s).cast("long") for s in _STEPS])
+    reg = fps.select("fp", _cell(F.col("fp")).alias("own")).select("fp", "own", F.explode(steps).alias("step"))
+    reg = reg.select("fp", (F.col("own") + F.col("step")).alias("cell"))
     sizes = reg.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     shared = written(reg.join(sizes, "cell"))
     small = shared.where(F.col("n") <= crowded).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
