@@ -35,7 +35,7 @@ from loomdown.llm.lang_id import _buffers
 LENGTH = 200
 GRAM = 32
 SYMBOL = 8
-HOT = 1000
+HOT = 16384  # so many representatives of one anchor fill a bucket by themselves
 BUCKET_BYTES = 4 << 20
 SHARD_BYTES = 1 << 20
 _BLOCK = 1 << 20
@@ -215,7 +215,9 @@ def _spans(docs: DataFrame, length: int, hot: int, bucket_bytes: int) -> DataFra
     id_type = docs.schema["id"].dataType.simpleString()
     rows = anchor_rows(docs, length)
     groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).where(F.col("n") > 1)
-    met = written(rows.join(groups.select("h", (F.col("t0") == F.col("t1")).alias("same")), "h"))
+    # written first: then both sides of the join are plain exchanges, and AQE splits an anchor that holds many rows
+    groups = written(groups.select("h", (F.col("t0") == F.col("t1")).alias("same")))
+    met = written(rows.join(groups, "h"))
     mixed = met.where(~F.col("same")).drop("same")
     kinds = written(mixed.groupBy("h", "t").agg(F.count("*").alias("k"), F.min(F.struct("id", "tk", "pos")).alias("r")))
     width = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
