@@ -104,8 +104,6 @@ BRANDING_PARENTS = ["h1", "h2", "h3", "h4", "h5", "h6", "span", "div", "a", "p",
 OVERLAY_ROLES = ["dialog", "tooltip", "alertdialog"]
 CONTAINER_TAGS = ["div", "li", "article", "section"]
 LABEL_BLOCK_TAGS = ["p", "div", "h3", "h4", "h5", "li", "span"]
-# ordered: first present wins
-REGION_PRIORITY = ["bard-sidenav-content", "chat-window-content", "main", "div[role=main]", "article", "body"]
 ACTIVE_ATTRS = [("aria-selected", "true"), ("aria-current", "page"), ("aria-current", "true"), ("data-is-selected", "true")]
 USER_ATTRS = [("data-message-author-role", "user"), ("data-turn-role", "human"), ("data-role", "user")]
 SIDEBAR_MAX_TEXT = 5000

@@ -6,6 +6,9 @@ where Spark supports it and never leaves the JVM.
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,16 @@ from loomdown.functions import constants as K
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def _ws(pattern: str) -> str:
+    """A pattern with ``\\s`` and ``\\S`` meaning Unicode white space."""
+    return pattern.replace(r"\s", WS).replace(r"\S", "[^" + WS[1:])
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it (the plan holds one copy of it)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -35,22 +48,30 @@ def collapse_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"[ \t\n\r\f]+", " ")
 
 
+_REFERENCE = r"(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&)"
+
+
+def _json_map(table: dict[str, str]) -> Column:
+    """A constant map; folded once when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
 def decode_entities(c: Column) -> Column:
-    """Numeric character references first (only when present), then named ones, '&amp;' last."""
-    pieces = F.regexp_extract_all(c, F.lit(r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&)"), 1)
+    """Every character reference once, in one pass over the pieces: numeric (any number of digits; 128-159 as
+    Windows-1252, invalid code points as U+FFFD) and named by the HTML table (without ';' where HTML allows that)."""
+    named = _json_map({"&" + k: v for k, v in html.entities.html5.items()})
+    remap = _json_map({str(k): bytes([k]).decode("cp1252") for k in range(128, 160) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)})
 
     def piece(p):
-        hexnum = F.when(p.startswith("&#x") | p.startswith("&#X"), F.conv(F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10))
-        decnum = F.when(~(p.startswith("&#x") | p.startswith("&#X")), F.regexp_extract(p, r"^&#([0-9]+);$", 1))
-        cp = F.coalesce(hexnum, decnum).cast("long")
-        as_char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-        return F.when(p.startswith("&#") & (F.length(p) > 3) & cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF), as_char).otherwise(p)
+        is_hex = p.rlike("^&#[xX]")
+        digits = F.regexp_extract(p, r"^&#[xX]?0*([0-9a-fA-F]*);?$", 1)
+        short = F.when(F.length(digits).between(1, 8), digits)
+        cp = F.when(is_hex, F.conv(short, 16, 10)).otherwise(short).try_cast("long")
+        valid = cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.coalesce(remap[cp.cast("string")], F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))).otherwise("\ufffd")
+        return F.when(p.startswith("&#") & (F.length(p) > 2), char).when(p.startswith("&") & (F.length(p) > 1), F.coalesce(named[p], p)).otherwise(p)
 
-    numeric = F.when(c.contains("&#"), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
-    out = numeric
-    for ent, ch in K.NAMED_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    return F.when(c.contains("&"), F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), 1), piece), "")).otherwise(c)
 
 
 # ---------------------------------------------------------------- titles
@@ -58,16 +79,19 @@ def clean_title(c: Column) -> Column:
     """Strip, drop 'Conversation with', platform suffix/prefix, one sidebar suffix, separators; NULL if a
     platform name, a UI label or empty."""
     x = strip_ws(c)
-    x = F.regexp_replace(x, r"(?i)^conversation\s+with\s+", "")
+    x = F.regexp_replace(x, _ws(r"(?i)^conversation\s+with\s+"), "")
     for name in K.PLATFORM_NAMES:
         q = java_quote(name)
-        x = F.regexp_replace(x, rf"(?i)\s*[-–—|:]\s*{q}\s*$", "")
-        x = F.regexp_replace(x, rf"(?i)^{q}\s*[-–—|:]\s*", "")
-    x = F.regexp_replace(x, "(?i)" + K.SIDEBAR_SUFFIX_RE, "")
+        x = F.regexp_replace(x, _ws(rf"(?i)\s*[-–—|:]\s*{q}\s*$"), "")
+        x = F.regexp_replace(x, _ws(rf"(?i)^{q}\s*[-–—|:]\s*"), "")
+    x = F.regexp_replace(x, _ws("(?i)" + K.SIDEBAR_SUFFIX_RE), "")
     x = F.btrim(x, F.lit(K.TITLE_SEPARATORS))
-    low = F.lower(x)
-    bad = low.isin([n.lower() for n in K.PLATFORM_NAMES]) | low.isin(K.UI_LABELS) | (x == "")
-    return F.when(bad, F.lit(None).cast("string")).otherwise(x)
+    def accepted(v: Column) -> Column:
+        low = F.lower(v)
+        bad = low.isin([n.lower() for n in K.PLATFORM_NAMES]) | low.isin(K.UI_LABELS) | (v == "")
+        return F.when(bad, F.lit(None).cast("string")).otherwise(v)
+
+    return let(x, accepted)
 
 
 def user_turn_title(c: Column) -> Column:
@@ -186,14 +210,14 @@ def word_count(md: Column) -> Column:
 def strip_brand_headings(md: Column) -> Column:
     """Remove heading lines that are only a platform name (case-sensitive)."""
     for name in K.PLATFORM_NAMES:
-        md = F.regexp_replace(md, rf"(?md)^#+\s*{java_quote(name)}\s*$", "")
+        md = F.regexp_replace(md, _ws(rf"(?md)^#+\s*{java_quote(name)}\s*$"), "")
     return md
 
 
 def strip_conversation_with(md: Column) -> Column:
     """Remove 'Conversation with X' heading lines and plain lines (ignoring case)."""
-    md = F.regexp_replace(md, r"(?imd)^#+\s*Conversation\s+with\s+\S+.*$", "")
-    return F.regexp_replace(md, r"(?imd)^Conversation\s+with\s+\S+.*$", "")
+    md = F.regexp_replace(md, _ws(r"(?imd)^#+\s*Conversation\s+with\s+\S+.*$"), "")
+    return F.regexp_replace(md, _ws(r"(?imd)^Conversation\s+with\s+\S+.*$"), "")
 
 
 def squeeze_blank(md: Column) -> Column:

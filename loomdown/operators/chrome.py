@@ -71,12 +71,6 @@ def text_len() -> Column:
     return F.coalesce(F.length("piece"), F.lit(0))
 
 
-def drop_guarded(nodes: DataFrame, cand: Column, max_text: int = K.SIDEBAR_MAX_TEXT) -> DataFrame:
-    """Drop live candidates whose live text (get_text(strip=True) length) is at most ``max_text``."""
-    n = element_measure(nodes, text_len(), "_tlen")
-    return drop_subtrees(n, cand & (F.col("_tlen") <= max_text)).drop("_tlen")
-
-
 def drop_guarded_stages(nodes: DataFrame, stages: list[Column], max_text: int = K.SIDEBAR_MAX_TEXT) -> DataFrame:
     """F4-F6 in one pass, exactly equal to running the guarded stages one after another.
 

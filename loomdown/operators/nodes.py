@@ -32,10 +32,10 @@ TOKEN_RE = (
     r"|<script\b[^>]*+>.*?</script\s*>|<style\b[^>]*+>.*?</style\s*>"
     r"|<textarea\b[^>]*+>.*?</textarea\s*>|<title\b[^>]*+>.*?</title\s*>"
     r"|<![^>]*+>|<\?[^>]*+>"
-    r"|</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    r"|</?[a-z](?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>"
     r"|[^<]++|<)"
 )
-ATTR_RE = r"[^\s\"'>/=]++(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?"
+ATTR_RE = r"[^\s\"'>/=]++(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?"
 
 _VOID = ", ".join(f"'{t}'" for t in K.VOID_TAGS)
 
@@ -43,13 +43,13 @@ _RAW = ", ".join(f"'{t}'" for t in K.RAW_TAGS)
 TAG_SQL = "lower(regexp_extract(tok, '^</?([A-Za-z][^\\\\s/>]*)', 1))"
 
 # Token kind. A raw-text element is one token that ends with its own closing tag (only the raw alternatives of the
-# token pattern produce that); the check reads the token's tail only.
+# token pattern produce that), however much white space the closing tag holds. Quotes open a value only after '='.
 KIND_SQL = f"""case
   when tok like '<!--%' then 'comment'
   when tok like '<!%' or tok like '<?%' then 'decl'
   when tok like '</%' then case when tok rlike '^</[A-Za-z]' then 'close' else 'text' end
   when tok rlike '^<[A-Za-z]' then
-    case when {TAG_SQL} in ({_RAW}) and right(tok, 40) rlike '(?i)</(script|style|textarea|title)\\\\s*>$' then 'raw'
+    case when {TAG_SQL} in ({_RAW}) and tok rlike '(?i)</(script|style|textarea|title)\\\\s*>\\\\z' then 'raw'
          when {TAG_SQL} in ({_VOID}) or tok like '%/>' then 'void'
          else 'open' end
   else 'text' end"""

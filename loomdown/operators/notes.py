@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from loomdown.functions import text as T
 
-BROADCAST_TARGETS_MAX = 100_000
 
 
 def note_files(notes: DataFrame, opts, order_key=("page_id", "phrase_id")) -> DataFrame:
@@ -34,9 +33,8 @@ def merged_notes(notes: DataFrame, target: str, opts, order_key=("page_id", "phr
     ok = notes.where((F.col("status") == "ok") & (F.length("markdown") > 0)).withColumn("merge_target", T.merge_target_name(F.lit(target)))
     key = F.struct(*[F.col(c) for c in order_key])
     firsts = ok.groupBy("merge_target").agg(F.min(key).alias("first_key"))
-    if firsts.count() <= BROADCAST_TARGETS_MAX:
-        firsts = F.broadcast(firsts)
-    j = ok.join(firsts, "merge_target")
+    # one target, hence one row: the broadcast is bounded by construction
+    j = ok.join(F.broadcast(firsts), "merge_target")
     is_first = key == F.col("first_key")
     head = T.note_text(F.col("title"), F.col("markdown"), F.col("tags"), opts)
     sep = F.concat(F.lit("\n\n---\n\n# "), F.col("title"), F.lit("\n\n"), F.col("markdown"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 
@@ -20,11 +20,8 @@ class Options:
     run_date: str = "2026-01-01"
     # pages with more nesting events than this use the linear stack pass instead of the native aggregate
     native_nesting_max_events: int = 6000
-    # phrase tables up to this many rows are broadcast to the text-node scan; larger ones use a trigram join
-    phrase_broadcast_max_rows: int = 20000
     # how the node table and the cleaned region rows are materialised: "checkpoint", "persist" or "none"
     materialize: str = "checkpoint"
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Options":
         return replace(self, **kw)

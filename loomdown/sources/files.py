@@ -18,13 +18,13 @@ BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content b
 
 
 def decode_files(raw: DataFrame) -> DataFrame:
-    """S1 on binaryFile rows: strict UTF-8 or a bad_encoding failure row."""
+    """S1 on binaryFile rows: strict UTF-8 with line ends as LF, or a bad_encoding failure row."""
     s = F.col("content").cast("string")
     ok = F.is_valid_utf8(s)
     path = _norm(F.col("path"))
     return raw.select(
         F.xxhash64(path).alias("page_id"), path.alias("path"), F.col("modificationTime").alias("mtime"),
-        F.when(ok, s).alias("html"), F.when(ok, "ok").otherwise("bad_encoding").alias("status"))
+        F.when(ok, F.regexp_replace(s, "\r\n?", "\n")).alias("html"), F.when(ok, "ok").otherwise("bad_encoding").alias("status"))
 
 
 def scan_dir(spark: SparkSession, directory: str, pattern: str = "*.htm*") -> DataFrame:

@@ -26,31 +26,49 @@ def html_stream(spark: SparkSession, folder: str, start_ts=None) -> DataFrame:
 
 
 def notes_batch(batch: DataFrame, opts, requests: DataFrame | None = None) -> DataFrame:
-    """The per-micro-batch plan: whole-page notes, or answers for phrase requests keyed by path."""
+    """The per-micro-batch plan: whole-page notes, or answers for phrase requests keyed by path. Files that are not valid
+    UTF-8 are failure rows (one per file, or per request on it)."""
     from loomdown.plans.full_page import page_notes
 
     pages = batch.where(F.col("status") == "ok")
+    bad = batch.where(F.col("status") != "ok").select("page_id", "path", "status")
     if requests is None:
         notes = page_notes(pages, opts, stem=file_stem(F.col("path")))
-        return notes.join(batch.select("page_id", "path"), "page_id")
+        return notes.join(batch.select("page_id", "path"), "page_id").unionByName(bad, allowMissingColumns=True)
     from loomdown.operators.nodes import build_nodes
     from loomdown.plans.answers import page_answers
 
-    req = requests.join(batch.select("path", "page_id"), "path")
-    return page_answers(build_nodes(pages, opts), req.select("phrase_id", "page_id", "phrase"), opts)
+    asked = requests.where(F.btrim("phrase") != "")  # a blank phrase asks nothing
+    req = asked.join(pages.select("path", "page_id"), "path")
+    answers = page_answers(build_nodes(pages, opts), req.select("phrase_id", "page_id", "phrase"), opts)
+    return answers.unionByName(asked.join(bad, "path").select("page_id", "phrase_id", "status"), allowMissingColumns=True)
 
 
-def start_listener(spark: SparkSession, folder: str, out_dir: str, checkpoint_dir: str, opts, start_ts=None,
+def start_listener(spark: SparkSession, folder: str, out_dir: str, checkpoint_dir: str, opts, start_ts="now",
                    requests: DataFrame | None = None, trigger: dict | None = None):
-    """Run the listener; each batch appends its notes (with the batch id, so 'last file wins' can be applied)."""
+    """Run the listener. ``start_ts`` is the modification time from which files count: the listener's start by default,
+    None for a backfill of what lies in the folder. Each batch overwrites its own ``batch_id=N`` folder below
+    ``out_dir``, so a batch that is replayed after a failure leaves no second copy; ``latest_notes`` reads the result."""
+    if start_ts == "now":
+        start_ts = spark.sql("select current_timestamp()").first()[0]
     stream = html_stream(spark, folder, start_ts)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        out = notes_batch(batch, opts, requests).withColumn("batch_id", F.lit(batch_id))
+        out = notes_batch(batch, opts, requests)
         if "tags" in out.columns:
             out = out.withColumn("tags", F.array_join("tags", ", "))
-        out.write.mode("append").parquet(out_dir)
+        out.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
+
+
+def latest_notes(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The listener's notes with the last batch winning a shared file name (failures have none and all stay)."""
+    rows = spark.read.parquet(out_dir)
+    names = [c for c in rows.columns if c != "file_name"]
+    won = rows.where(F.col("file_name").isNotNull()).groupBy("file_name").agg(
+        F.max_by(F.struct(*names), F.struct("batch_id", "page_id")).alias("w"))
+    return won.select(*[F.col(f"w.{c}").alias(c) if c != "file_name" else F.col(c) for c in rows.columns]).unionByName(
+        rows.where(F.col("file_name").isNull()))

@@ -46,14 +46,16 @@ def test_stream_equals_batch(spark, opts):
     d = _folder()
     out = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     ck = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    q = start_listener(spark, d, out + "/notes", ck, opts)
+    q = start_listener(spark, d, out + "/notes", ck, opts, start_ts=None)
     q.awaitTermination(300)
     streamed = spark.read.parquet(out + "/notes")
+    assert [(os.path.basename(r.path), r.status) for r in streamed.where("status != 'ok'").collect()] == [("bad.html", "bad_encoding")]
+    streamed = streamed.where("status = 'ok'")
     got = {os.path.basename(r.path): (r.title, r.markdown) for r in streamed.collect()}
     # suffix test is case-insensitive for the listener (.HTML included, .htmx excluded), nested folder ignored
     assert set(got) == {"a.html", "b.htm", "c.HTML"}
     batch = scan_dir(spark, d, "*.[hH][tT][mM]*").where(F.lower("path").rlike(r"\.html?$"))
-    want = {os.path.basename(r.path): (r.title, r.markdown) for r in notes_batch(batch, opts).collect()}
+    want = {os.path.basename(r.path): (r.title, r.markdown) for r in notes_batch(batch, opts).where("status = 'ok'").collect()}
     assert got == want
     assert got["a.html"] == ("Alpha Note", "# Alpha Note\n\nBody of Alpha Note.")
 
@@ -93,7 +95,7 @@ def test_listener_phrase_requests(spark, opts):
                                 "phrase_id long, path string, phrase string")
     out = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     ck = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    q = start_listener(spark, d, out + "/answers", ck, opts, requests=req)
+    q = start_listener(spark, d, out + "/answers", ck, opts, start_ts=None, requests=req)
     q.awaitTermination(300)
     got = {r.phrase_id: r for r in spark.read.parquet(out + "/answers").collect()}
     assert got[1].status == "ok" and got[1].markdown == "Use sorted(items) or items.sort() for in place."

@@ -1,4 +1,4 @@
-"""The six reference title cases, as rows of one table through T2-T9."""
+"""Title cases, as rows of one table through T2-T9."""
 
 from cases import TITLE_CASES
 
@@ -6,7 +6,7 @@ from loomdown.operators.nodes import build_nodes
 from loomdown.operators.titles import page_titles
 
 
-def test_reference_title_cases(spark, opts):
+def test_title_cases(spark, opts):
     df = spark.createDataFrame([(a, b) for a, b, _ in TITLE_CASES], "page_id long, html string")
     got = {r.page_id: r.title for r in page_titles(build_nodes(df, opts)).collect()}
     for case_id, _, expected in TITLE_CASES:
