@@ -41,7 +41,7 @@ IDENTITY_GROUPS = (
     ("deaf", "blind", "disabled", "autistic"),
     ("old", "young", "elderly"),
 )
-_SENTENCE = re.compile(r"(?<=[.!?\n])\s*")
+_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?\s*")
 _WORD = r"[^\s\p{P}\p{S}\p{N}]+"
 
 
@@ -62,9 +62,9 @@ def swap_terms(text: str, groups=IDENTITY_GROUPS) -> str:
     """The text with each identity term of its sentences replaced by the next one of its group."""
     nxt = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
     out = []
-    for sentence in _SENTENCE.split(text):
+    for sentence in _SENTENCE.findall(text):
         out.append(re.sub(r"[^\W\d_]+", lambda m: nxt.get(m[0].lower(), m[0]), sentence))
-    return " ".join(out)
+    return "".join(out)
 
 
 @dataclass

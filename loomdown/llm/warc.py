@@ -128,7 +128,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", payload_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: TemporaryFile | None = None
-        now, seq, note, last, copy = -1, 0, (None, None, None), None, {}
+        now, seq, note, last, copy = -1, 0, (None, None, None), object(), {}
 
         def finish():
             out.close()
