@@ -35,8 +35,8 @@ from loomdown.llm.lang_id import _buffers
 LENGTH = 200
 GRAM = 32
 SYMBOL = 8
-HOT = 16384  # so many representatives of one anchor fill a bucket by themselves
-BUCKET_BYTES = 4 << 20
+HOT = 8192  # so many representatives of one anchor fill a bucket by themselves
+BUCKET_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
 _BLOCK = 1 << 20
 _POS = np.uint64((1 << 24) - 1)

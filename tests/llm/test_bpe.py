@@ -1,4 +1,4 @@
-"""Operator 7 against the reference tokenizer library, random strings, long pre-tokens, and the decoding round trip."""
+"""Operator 7 against the tiktoken library, random strings, long pre-tokens, and the decoding round trip."""
 
 import hashlib
 import random
