@@ -9,9 +9,7 @@ Rendering is set-at-a-time:
    kept only when the element stays inside one segment and holds some text.
 3. ``groupBy(page_id, seg)`` concatenates pieces in order; the segment's first row decides the prefix (heading,
    list item, quote, fenced code with its language).
-4. ``groupBy(page_id)`` joins the non-empty segments with a blank line.
-
-All grouping keys start with ``page_id`` so the partitioning from the node table is reused.
+4. ``groupBy(page_id)`` joins the non-empty segments with a blank line (rows of one table with a line end).
 """
 
 from __future__ import annotations
@@ -115,8 +113,9 @@ def render(rows: DataFrame, opts, with_languages: bool = True) -> DataFrame:
     block = elem & _is(K.BLOCK_TAGS) & ~F.col("in_pre")
     href = attr("href")
     fmt = elem & ~F.col("in_pre") & (_is(["b", "strong", "i", "em", "code"]) | ((F.col("tag") == "a") & (F.coalesce(href, F.lit("")) != "")))
+    cell = elem & ~F.col("in_pre") & _is(["td", "th"])
     u = rows.select("page_id", "pos", "ord", "sub", "elem", "end", "kind", "tag", "text", "in_pre", "parent", "amap",
-                    block.alias("blk"), fmt.alias("fmt"), href.alias("href"))
+                    block.alias("blk"), fmt.alias("fmt"), cell.alias("cell"), href.alias("href"))
     # ordered-list item numbers: an li row joins its parent's group (window, no join)
     is_li = is_open & (F.col("kind") == "open") & (F.col("tag") == "li")
     u = u.withColumn("_g", F.when(is_li, F.col("parent")).when(is_open & F.col("tag").isin("ul", "ol"), F.col("pos")))
@@ -131,10 +130,13 @@ def render(rows: DataFrame, opts, with_languages: bool = True) -> DataFrame:
     u = (u.withColumn("seg", F.sum(bnd).over(RUNW()))
          .withColumn("cnt", F.sum(nonempty).over(RUNW()))
          .withColumn("bq", F.sum(F.when(F.col("blk") & (F.col("tag") == "blockquote"), delta).otherwise(0)).over(RUNW()))
-         .withColumn("ld", F.sum(F.when(F.col("blk") & _is(["ul", "ol"]), delta).otherwise(0)).over(RUNW())))
+         .withColumn("ld", F.sum(F.when(F.col("blk") & _is(["ul", "ol"]), delta).otherwise(0)).over(RUNW()))
+         .withColumn("lid", F.sum(F.when(F.col("blk") & (F.col("tag") == "li"), delta).otherwise(0)).over(RUNW())))
     ew = Window.partitionBy("page_id", "elem")
-    ok = (F.min("seg").over(ew) == F.max("seg").over(ew)) & ((F.max("cnt").over(ew) - F.min("cnt").over(ew)) > 0)
+    one_seg = F.min("seg").over(ew) == F.max("seg").over(ew)
+    ok = one_seg & ((F.max("cnt").over(ew) - F.min("cnt").over(ew)) > 0)
     u = u.withColumn("ok", F.when(F.col("fmt"), ok).otherwise(F.lit(False)))
+    u = u.withColumn("wide", F.when(F.col("cell") & is_open, ~one_seg))  # a cell that holds block elements
 
     tag = F.col("tag")
     mark = F.create_map(*[x for k, v in INLINE_MARK.items() for x in (F.lit(k), F.lit(v))])[tag]
@@ -145,22 +147,26 @@ def render(rows: DataFrame, opts, with_languages: bool = True) -> DataFrame:
         .when(F.col("in_pre"), F.lit(None))
         .when(tag == "hr", F.lit("---"))
         .when(tag == "img", F.concat(F.lit("!["), F.coalesce(attr("alt"), F.lit("")), F.lit("]("), F.coalesce(attr("src"), F.lit("")), F.lit(")")))
+        .when(F.col("cell"), F.lit(" "))
         .when(F.col("ok") & (tag == "a"), F.lit("["))
         .when(F.col("ok"), mark)
     )
-    close_piece = F.when(F.col("ok") & (tag == "a"), F.concat(F.lit("]("), F.col("href"), F.lit(")"))).when(F.col("ok"), mark)
+    close_piece = F.when(F.col("cell"), F.lit(" ")).when(F.col("ok") & (tag == "a"), F.concat(F.lit("]("), F.col("href"), F.lit(")"))).when(F.col("ok"), mark)
     u = u.withColumn("piece", F.when(is_open, open_piece).otherwise(close_piece))
     u = u.withColumn("o_tag", F.when(is_open & F.col("blk"), tag)).withColumn("o_pos", F.when(is_open & F.col("blk"), F.col("pos")))
 
     segs = u.groupBy("page_id", "seg").agg(
-        F.min(F.struct(*ORDER, "o_tag", "o_pos", "bq", "ld", "li_num")).alias("first"),
-        F.collect_list(F.when(F.col("piece").isNotNull(), F.struct(*ORDER, "piece"))).alias("ps"),
-    )
-    segs = segs.select(
-        "page_id", "seg", F.col("first.o_tag").alias("o_tag"), F.col("first.o_pos").alias("o_pos"), F.col("first.bq").alias("bq"),
-        F.col("first.ld").alias("ld"), F.col("first.li_num").alias("li_num"),
-        F.array_join(F.transform(F.array_sort("ps"), lambda x: x["piece"]), "").alias("raw"),
+        F.min(F.struct(*ORDER, "o_tag", "o_pos", "bq", "ld", "lid", "li_num")).alias("first"),
+        F.collect_list(F.when(F.col("piece").isNotNull(), F.struct(*ORDER, "piece", (F.col("cell") & is_open).alias("cell")))).alias("ps"),
+        F.count("wide").alias("cells"), F.coalesce(F.max("wide"), F.lit(False)).alias("wide"),
     )
+    joined = F.array_join(F.transform(F.col("ps"), lambda x: x["piece"]), "")
+    piped = F.array_join(F.transform(F.col("ps"), lambda x: F.when(x["cell"], "| ").otherwise(F.replace(x["piece"], F.lit("|"), F.lit("\\|")))), "")
+    is_row = (F.col("o_tag") == "tr") & (F.col("cells") > 0) & ~F.col("wide")
+    segs = segs.withColumn("ps", F.array_sort("ps")).select(
+        "page_id", "seg", *[F.col(f"first.{c}").alias(c) for c in ("o_tag", "o_pos", "bq", "ld", "lid", "li_num")], "cells", "wide", "ps")
+    segs = segs.withColumn("is_row", F.coalesce(is_row, F.lit(False)))
+    segs = segs.withColumn("raw", F.when(F.col("is_row"), piped).otherwise(joined)).drop("ps", "wide")
     is_pre_seg = F.col("o_tag") == "pre"
     if with_languages:
         langs = code_languages(rows).withColumnRenamed("pre_pos", "o_pos")
@@ -179,17 +185,34 @@ def render(rows: DataFrame, opts, with_languages: bool = True) -> DataFrame:
                    .otherwise(F.concat(F.repeat(F.lit("#"), F.when(level == "", 1).otherwise(level.cast("int"))), F.lit(" "), t)))
     else:
         heading = F.concat(F.repeat(F.lit("#"), F.when(level == "", 1).otherwise(level.cast("int"))), F.lit(" "), t)
-    item = F.concat(F.repeat(F.lit("  "), F.greatest(F.col("ld") - 1, F.lit(0))),
-                    F.when(F.col("li_num").isNotNull(), F.concat(F.col("li_num").cast("string"), F.lit(". "))).otherwise(F.lit("- ")), t)
-    body = (F.when(t == "", F.lit(""))
-            .when(level != "", heading)
-            .when(F.col("o_tag") == "li", item)
-            .otherwise(t))
-    body = F.when(is_pre_seg, fenced).otherwise(body)
-    body = F.when((F.col("bq") > 0) & (body != ""), F.regexp_replace(body, "(?m)^", "> ")).otherwise(body)
-    segs = segs.withColumn("md", body).withColumn("is_code", is_pre_seg)
-    doc = segs.where(F.col("md") != "").groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "md"))), lambda x: x["md"]), "\n\n").alias("markdown"),
+    body = F.when(t == "", F.lit("")).when(F.col("is_row"), F.concat(t, F.lit(" |"))).when(level != "", heading).otherwise(t)
+    segs = segs.withColumn("md", F.when(is_pre_seg, fenced).otherwise(body)).withColumn("is_code", is_pre_seg)
+    return _join_segments(segs)
+
+
+def _join_segments(segs: DataFrame) -> DataFrame:
+    """List markers, table rules, quotes and blank lines: (page_id, markdown, n_code) from rendered segments.
+
+    The first text inside an li takes its marker, whatever block holds it; the li's other segments are indented. Rows that
+    follow each other directly are lines of one table, whose first row is its head."""
+    run = Window.partitionBy("page_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("page_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.col("md") != ""
+    segs = (segs.withColumn("li", F.last(F.when(F.col("o_tag") == "li", F.struct("seg", "lid", "li_num")), ignorenulls=True).over(run))
+            .withColumn("prev", F.last(F.when(full, F.struct("seg", "is_row")), ignorenulls=True).over(before)).where(full))
+    # two boundaries lie between neighbouring rows: the end of one and the start of the next
+    follows = F.col("is_row") & F.coalesce(F.col("prev.is_row") & (F.col("prev.seg") == F.col("seg") - 2), F.lit(False))
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("cells").cast("int")))
+    marked = F.coalesce((F.col("lid") > 0) & (F.col("li.lid") == F.col("lid")) & (F.coalesce(F.col("prev.seg"), F.lit(-1)) < F.col("li.seg")), F.lit(False))
+    inner = F.repeat(F.lit("  "), F.greatest(F.col("ld"), F.lit(1)).cast("int"))
+    outer = F.repeat(F.lit("  "), F.greatest(F.col("ld") - 1, F.lit(0)).cast("int"))
+    number = F.coalesce(F.concat(F.col("li.li_num").cast("string"), F.lit(". ")), F.lit("- "))
+    segs = segs.withColumn("follows", follows).withColumn("md", F.when(F.col("is_row") & ~follows, F.concat("md", rule)).otherwise(F.col("md")))
+    indented = F.replace(F.col("md"), F.lit("\n"), F.concat(F.lit("\n"), inner))
+    segs = segs.withColumn("md", F.when(marked, F.concat(outer, number, indented)).when(F.col("lid") > 0, F.concat(inner, indented)).otherwise(F.col("md")))
+    segs = segs.withColumn("md", F.when(F.col("bq") > 0, F.regexp_replace("md", "(?m)^", "> ")).otherwise(F.col("md")))
+    segs = segs.withColumn("md", F.concat(F.when(F.col("prev").isNull(), "").when(F.col("follows"), "\n").otherwise("\n\n"), F.col("md")))
+    return segs.groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "md"))), lambda x: x["md"]), "").alias("markdown"),
         F.sum(F.col("is_code").cast("int")).alias("n_code"),
     )
-    return doc

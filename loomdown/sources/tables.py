@@ -14,14 +14,17 @@ def chat_pages(conversations: DataFrame) -> DataFrame:
     """Deterministic chat pages built from parsed conversations (one page per conversation).
 
     Each turn becomes a ``data-message-author-role`` div; some turns carry a code block (class-, label- or
-    syntax-detectable); the page has an aside with an active item for every third conversation, a header, a
-    history panel (long for every seventh), a platform heading, a modal and a textarea, and one of four main-region
-    tags. The ordered concatenation is ``listagg ... within group (order by turn)`` per conversation."""
+    syntax-detectable) or lists and tables; the page has an aside with an active item for every third conversation, a header, a
+    history panel (long for every seventh), a platform heading, a modal and a textarea, chrome inside the region, and one of
+    six main-region elements. The ordered concatenation is ``listagg ... within group (order by turn)`` per conversation."""
     esc = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     k = (F.col("conv_id") * 7 + F.col("turn")) % 5
     code = (F.when(k == 0, F.lit('<pre class="language-python"><code>def f(x): return x</code></pre>'))
             .when(k == 1, F.lit("<p>rust code</p><section><pre><code>loop {}</code></pre></section>"))
             .when(k == 2, F.lit("<section><pre><code>SELECT a FROM b</code></pre></section>"))
+            .when(k == 3, F.lit("<ul><li><p>one</p><p>more</p></li><li>two<ol><li><p>in <b>bold</b></p></li></ol></li></ul>"
+                                "<table><thead><tr><th>k</th><th>v|w</th></tr></thead><tbody><tr><td>a</td><td></td></tr></tbody></table>"
+                                "<table><tr><td><p>wide</p></td><td>cell</td></tr></table>"))
             .otherwise(F.lit("")))
     t = conversations.select("conv_id", "turn", F.concat(
         F.lit('<div data-message-author-role="'), F.col("role"), F.lit('"><p>'), esc, F.lit("</p>"), code, F.lit("</div>")).alias("h"))
@@ -29,8 +32,17 @@ def chat_pages(conversations: DataFrame) -> DataFrame:
     cid = F.col("conv_id")
     pf = (F.when(cid % 5 == 0, "ChatGPT").when(cid % 5 == 1, "Gemini").when(cid % 5 == 2, "Google Gemini")
           .when(cid % 5 == 3, "Copilot").otherwise("DeepSeek"))
-    region = (F.when(cid % 4 == 0, "main").when(cid % 4 == 1, "bard-sidenav-content").when(cid % 4 == 2, "article")
-              .otherwise("chat-window-content"))
+    region = (F.when(cid % 6 == 0, "main").when(cid % 6 == 1, "bard-sidenav-content").when(cid % 6 == 2, "article")
+              .when(cid % 6 == 3, "chat-window-content").when(cid % 6 == 4, "div").otherwise("span"))
+    role = F.when(cid % 6 == 4, ' role="main"').otherwise("")
+    # one piece of chrome inside the region for every clean-up rule; the guarded ones are long on every eleventh page
+    long = F.when(cid % 11 == 0, F.repeat(F.lit("stay "), 1100)).otherwise(F.lit("gone"))
+    chrome = F.concat(
+        F.lit('<nav>links</nav><button>press</button><svg><text>icon</text></svg><script>var s = 1;</script><div class="toolbar">tools</div>'
+              '<a class="copy-link">copy</a><aside>margin</aside><div role="complementary">'), long,
+        F.lit('<div role="navigation">inner way</div></div><div role="navigation">'), long, F.lit('</div><div class="sidebar">'), long,
+        F.lit('</div><div aria-label="sidebar">'), long,
+        F.lit('</div><title>second title</title><div contenteditable="true">draft</div><div role="dialog">ask again</div>'))
     title = F.when(cid % 2 == 0, F.concat(F.lit("Chat "), cid.cast("string"), F.lit(" - "), pf)).otherwise(pf)
     pinned = F.when(cid % 3 == 0, F.concat(F.lit('<a aria-selected="true">Topic '), cid.cast("string"), F.lit(" Pinned Chat</a>"))).otherwise(F.lit(""))
     panel = F.when(cid % 7 == 0, F.repeat(F.lit("keep "), 1100)).otherwise(F.lit("short"))
@@ -38,7 +50,7 @@ def chat_pages(conversations: DataFrame) -> DataFrame:
         F.lit("<html><head><title>"), title, F.lit("</title></head><body>"),
         F.lit("<aside><h1>Chats</h1><a>Old</a>"), pinned, F.lit("</aside>"),
         F.lit('<header>top</header><div class="history-panel">'), panel, F.lit("</div>"),
-        F.lit("<"), region, F.lit("><h2>"), pf, F.lit("</h2>"), F.col("body"),
+        F.lit("<"), region, role, F.lit("><h2>"), pf, F.lit("</h2>"), chrome, F.col("body"),
         F.lit('<div class="modal">dialog</div><textarea>ask</textarea></'), region, F.lit("></body></html>"))
     return p.select(F.col("conv_id").alias("page_id"), html.alias("html"))
 
