@@ -5,7 +5,7 @@
   before the shuffle instead of landing whole in one task.
 * S5 (one merged note): kept one row per note with its ordering key and its piece (header + body, or separator +
   body); the file is the concatenation of pieces in key order, assembled at export. The per-target first key is a
-  partial aggregate, broadcast when the number of targets is small (counted), joined normally otherwise.
+  partial aggregate of one row.
 """
 
 from __future__ import annotations
@@ -27,15 +27,16 @@ def note_files(notes: DataFrame, opts, order_key=("page_id", "phrase_id")) -> Da
         T.note_text(F.col("w.title"), F.col("w.markdown"), F.col("w.tags"), opts).alias("content"))
 
 
-def merged_notes(notes: DataFrame, target: str, opts, order_key=("page_id", "phrase_id")) -> DataFrame:
+def merged_notes(notes: DataFrame, target: str, opts, order_key=("page_id", "phrase_id"), started: bool = False) -> DataFrame:
     """One row per exported note: (merge_target, page_id, phrase_id, piece); concatenating ``piece`` in
-    (page_id, phrase_id) order gives the merged file. Front matter title/tags come from the first note."""
+    (page_id, phrase_id) order gives the merged file. Front matter title/tags come from the first note; a target that was
+    ``started`` earlier has its front matter already."""
     ok = notes.where((F.col("status") == "ok") & (F.length("markdown") > 0)).withColumn("merge_target", T.merge_target_name(F.lit(target)))
     key = F.struct(*[F.col(c) for c in order_key])
     firsts = ok.groupBy("merge_target").agg(F.min(key).alias("first_key"))
     # one target, hence one row: the broadcast is bounded by construction
     j = ok.join(F.broadcast(firsts), "merge_target")
-    is_first = key == F.col("first_key")
+    is_first = F.lit(False) if started else key == F.col("first_key")
     head = T.note_text(F.col("title"), F.col("markdown"), F.col("tags"), opts)
     sep = F.concat(F.lit("\n\n---\n\n# "), F.col("title"), F.lit("\n\n"), F.col("markdown"))
     return j.select("merge_target", *order_key, F.when(is_first, head).otherwise(sep).alias("piece"))
