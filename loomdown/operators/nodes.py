@@ -11,16 +11,13 @@
 
 Physical plan: pages are hash-partitioned by ``page_id`` once, *before* the explode, so every later window, aggregate
 and self-join keyed by ``page_id`` reuses that partitioning and the only Exchange moves the raw page rows.
-The stack pass runs inside the page row (native ``aggregate``); pages with more events than
-``Options.native_nesting_max_events`` use a linear Arrow-batched stack walk instead, so no page is capped or dropped.
+The stack pass runs inside the page row as a native ``aggregate`` over chunks of events, alike for pages of every size.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomdown.functions import constants as K
 from loomdown.functions.text import WS, decode_entities, strip_ws
@@ -56,64 +53,37 @@ KIND_SQL = f"""case
 
 NODE_STRUCT = "struct<p:int,e:int,d:int,par:int>"
 
-# Stack pass over the page's events (k: 1 open, 2 close, 0 leaf), as one native higher-order aggregate.
-NEST_SQL = f"""aggregate(ev,
-  named_struct('st', cast(array() as array<struct<t:string,p:int,d:int,par:int>>), 'out', cast(array() as array<{NODE_STRUCT}>)),
-  (a, e) -> case
-    when e.k = 1 then named_struct(
-        'st', array_append(a.st, named_struct('t', e.t, 'p', e.p, 'd', size(a.st), 'par', try_element_at(a.st, -1).p)),
-        'out', a.out)
-    when e.k = 2 and array_contains(transform(a.st, s -> s.t), e.t) then named_struct(
-        'st', slice(a.st, 1, size(a.st) - array_position(reverse(transform(a.st, s -> s.t)), e.t)),
-        'out', array_append(
-           concat(a.out, transform(
-              slice(a.st, size(a.st) - array_position(reverse(transform(a.st, s -> s.t)), e.t) + 1, size(a.st)),
-              s -> named_struct('p', s.p, 'e', case when s.t = e.t then e.p + 1 else e.p end, 'd', s.d, 'par', s.par))),
-           named_struct('p', e.p, 'e', e.p + 1,
-                        'd', cast(size(a.st) - array_position(reverse(transform(a.st, s -> s.t)), e.t) as int),
-                        'par', try_element_at(slice(a.st, 1, size(a.st) - array_position(reverse(transform(a.st, s -> s.t)), e.t)), -1).p)))
-    else named_struct('st', a.st, 'out', array_append(a.out,
-        named_struct('p', e.p, 'e', e.p + 1, 'd', size(a.st), 'par', try_element_at(a.st, -1).p)))
-  end,
-  a -> concat(a.out, transform(a.st, s -> named_struct('p', s.p, 'e', n_tok, 'd', s.d, 'par', s.par))))"""
-
-_NEST_TYPE = T.ArrayType(T.StructType([
-    T.StructField("p", T.IntegerType()), T.StructField("e", T.IntegerType()),
-    T.StructField("d", T.IntegerType()), T.StructField("par", T.IntegerType()),
-]))
-
-
-def _stack_walk_udf():
-    """Linear stack walk for very large pages (same output as NEST_SQL); Arrow batches of page rows."""
-
-    @F.pandas_udf(_NEST_TYPE)
-    def stack_walk(kinds: pd.Series, tags: pd.Series) -> pd.Series:
-        res = []
-        for ks, ts in zip(kinds, tags):
-            if ks is None:
-                res.append(None)
-                continue
-            n, st, out = len(ks), [], []
-            for i in range(n):
-                k = ks[i]
-                if k == 1:
-                    st.append((ts[i], i, len(st), st[-1][1] if st else None))
-                    continue
-                if k == 2:
-                    t = ts[i]
-                    for j in range(len(st) - 1, -1, -1):
-                        if st[j][0] == t:
-                            for s in st[j:]:
-                                out.append((s[1], i + 1 if s[0] == t else i, s[2], s[3]))
-                            del st[j:]
-                            break
-                out.append((i, i + 1, len(st), st[-1][1] if st else None))
-            for s in st:
-                out.append((s[1], n, s[2], s[3]))
-            res.append([{"p": a, "e": b, "d": c, "par": d} for a, b, c, d in out])
-        return pd.Series(res)
-
-    return stack_walk
+# Stack pass over the page's events (k: 1 open, 2 close, 0 leaf), as native higher-order aggregates. An aggregate copies
+# its state at every step, so the finished elements of at most NEST_CHUNK events are gathered at a time and appended to
+# the page's as one array: the copying per event does not grow with the page.
+NEST_CHUNK = 256
+_FROM = "array_position(reverse(transform(a.st, s -> s.t)), e.t)"  # 1 = the top of the stack
+_STACK = "array<struct<t:string,p:int,d:int,par:int>>"
+
+
+def nest_sql(chunk: int = NEST_CHUNK) -> str:
+    """Array of (p, e, d, par) for every element and leaf of the page's events ``ev`` (``n_tok`` tokens)."""
+    step = f"""case
+      when e.k = 1 then named_struct(
+          'st', array_append(a.st, named_struct('t', e.t, 'p', e.p, 'd', size(a.st), 'par', try_element_at(a.st, -1).p)),
+          'out', a.out)
+      when e.k = 2 and exists(a.st, s -> s.t = e.t) then named_struct(
+          'st', slice(a.st, 1, size(a.st) - {_FROM}),
+          'out', array_append(
+             concat(a.out, transform(
+                slice(a.st, size(a.st) - {_FROM} + 1, size(a.st)),
+                s -> named_struct('p', s.p, 'e', case when s.t = e.t then e.p + 1 else e.p end, 'd', s.d, 'par', s.par))),
+             named_struct('p', e.p, 'e', e.p + 1, 'd', cast(size(a.st) - {_FROM} as int),
+                          'par', try_element_at(slice(a.st, 1, size(a.st) - {_FROM}), -1).p)))
+      else named_struct('st', a.st, 'out', array_append(a.out,
+          named_struct('p', e.p, 'e', e.p + 1, 'd', size(a.st), 'par', try_element_at(a.st, -1).p)))
+    end"""
+    return f"""aggregate(
+  transform(sequence(0, greatest(size(ev) - 1, 0) div {chunk}), i -> slice(ev, cast(i * {chunk} + 1 as int), {chunk})),
+  named_struct('st', cast(array() as {_STACK}), 'outs', cast(array() as array<array<{NODE_STRUCT}>>)),
+  (b, part) -> aggregate(part, named_struct('st', b.st, 'out', cast(array() as array<{NODE_STRUCT}>)), (a, e) -> {step},
+                         a -> named_struct('st', a.st, 'outs', array_append(b.outs, a.out))),
+  b -> concat(flatten(b.outs), transform(b.st, s -> named_struct('p', s.p, 'e', n_tok, 'd', s.d, 'par', s.par))))"""
 
 
 def page_partitions(spark) -> int:
@@ -176,19 +146,9 @@ def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html"
             't', case when kinds[i] in ('open', 'close', 'void', 'raw') then {TAG_SQL} end,
             'p', i))""").alias("ev"),
     )
-    big = F.col("n_tok") > F.lit(int(opts.native_nesting_max_events))
-    walk = _stack_walk_udf()
-    nested = ev.select(
-        "page_id", "toks", "ev", "kinds",
-        F.coalesce(
-            F.when(~big, F.expr(NEST_SQL)),
-            walk(F.when(big, F.expr("transform(ev, e -> e.k)")), F.when(big, F.expr("transform(ev, e -> e.t)"))),
-        ).alias("out"),
-    )
+    nested = ev.select("page_id", "toks", "ev", "kinds", F.expr(nest_sql()).alias("out"))
     if not partitioned:
-        # Tokens and nesting are computed map-side in the page row (the Arrow stack walk must run before the
-        # Exchange: a Python node does not report its child's partitioning). One Exchange moves the page rows by
-        # page_id; an explicit count because the explode multiplies the per-page work several times over, so AQE
+        # Tokens and nesting are computed map-side in the page row. One Exchange moves the page rows by page_id; an explicit count because the explode multiplies the per-page work several times over, so AQE
         # must not merge these small-looking partitions by input size.
         nested = nested.repartition(page_partitions(pages.sparkSession), "page_id")
     rows = nested.select(

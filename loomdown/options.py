@@ -18,8 +18,6 @@ class Options:
     version: str = "3.0.0"
     # run date written into front matter; a literal so results are deterministic
     run_date: str = "2026-01-01"
-    # pages with more nesting events than this use the linear stack pass instead of the native aggregate
-    native_nesting_max_events: int = 6000
     # how the node table and the cleaned region rows are materialised: "checkpoint", "persist" or "none"
     materialize: str = "checkpoint"
 

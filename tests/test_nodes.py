@@ -1,4 +1,6 @@
-"""N1-N7 on literal edge rows: losslessness, stack nesting, both nesting paths agree, attributes."""
+"""N1-N7 on literal edge rows: losslessness, stack nesting, nesting against a plain walk, attributes."""
+
+import random
 
 from pyspark.sql import functions as F
 
@@ -39,11 +41,38 @@ def test_nesting_and_attrs(spark, opts):
     assert rows[(9, 1)].end == 7 and rows[(9, 3)].end == 7 and rows[(9, 0)].end == 8
 
 
-def test_linear_walk_equals_native(spark, opts):
-    df = spark.createDataFrame(EDGE, "page_id long, html string")
-    a = N.build_nodes(df, opts).select("page_id", "pos", "ord", "end", "depth", "parent")
-    b = N.build_nodes(df, opts.with_(native_nesting_max_events=0)).select("page_id", "pos", "ord", "end", "depth", "parent")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def _walk(events):
+    """Plain stack walk: (pos, end, depth, parent) of every element and leaf."""
+    st, out = [], []
+    for i, (k, t) in enumerate(events):
+        if k == 1:
+            st.append((t, i, len(st), st[-1][1] if st else None))
+            continue
+        at = max((j for j, s in enumerate(st) if s[0] == t), default=None) if k == 2 else None
+        if at is not None:
+            out += [(s[1], i + 1 if s[0] == t else i, s[2], s[3]) for s in st[at:]]
+            del st[at:]
+        out.append((i, i + 1, len(st), st[-1][1] if st else None))
+    return sorted((*out, *((s[1], len(events), s[2], s[3]) for s in st)))
+
+
+def test_nesting_equals_stack_walk(spark):
+    rng = random.Random(5)
+    pages = []
+    for size in (0, 1, 2, 3, 255, 256, 257, 700, 20_000):
+        for _ in range(1 if size > 1000 else 4):
+            pages.append([(k := rng.choice((0, 1, 1, 2, 2)), rng.choice("abcd") if k else None) for _ in range(size)])
+    rows = [(i, [(k, t, p) for p, (k, t) in enumerate(ev)], len(ev)) for i, ev in enumerate(pages)]
+    df = spark.createDataFrame(rows, "id int, ev array<struct<k:int,t:string,p:int>>, n_tok int")
+    for chunk in (1, 3, N.NEST_CHUNK):
+        for r in df.where("n_tok < 1000" if chunk < 9 else "true").select("id", F.expr(N.nest_sql(chunk)).alias("out")).collect():
+            assert sorted(tuple(x) for x in r.out) == _walk(pages[r.id])
+
+
+def test_page_plan_is_native(spark, opts):
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plan = N.build_nodes(df, opts)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_driver_pages_lossless(spark):

@@ -38,7 +38,7 @@ def test_scan_dir(spark):
 def test_read_requested_missing(spark):
     d = _folder()
     req = spark.createDataFrame([(f"{d}/a.html",), (f"{d}/zzz.html",), ("/nonexistent-folder/x.html",)], "path string")
-    got = {os.path.basename(r.path): r.status for r in read_requested(spark, req).collect()}
+    got = {os.path.basename(r.path): r.status for r in read_requested(spark, req, [d, "/nonexistent-folder"]).collect()}
     assert got == {"a.html": "ok", "zzz.html": "missing", "x.html": "missing"}
 
 
