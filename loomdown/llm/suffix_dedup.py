@@ -134,52 +134,66 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.mapInArrow(run, f"h long, t long, id {docs.schema['id'].dataType.simpleString()}, tk long, pos long")
 
 
+def _borders(key: np.ndarray) -> np.ndarray:
+    """Where a new block of equal keys begins."""
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    return new
+
+
+def _shared(border: np.ndarray) -> np.ndarray:
+    """Which places lie in a block of two or more suffixes."""
+    alone = border.copy()
+    alone[:-1] &= border[1:]
+    return ~alone
+
+
 class ShardBwt:
-    """A shard's table over 8-byte symbols: its suffixes ordered by first symbol, and the symbol before each."""
+    """A shard's table over 8-byte symbols: its suffixes ordered by first symbol, and the symbol before each (-1: none).
+
+    Symbols are numbers into the shard's own sorted alphabet."""
 
     def __init__(self, strings: list[bytes], first: int):
         data = np.frombuffer(b"".join(strings), dtype=np.uint8)
         n = np.array([len(s) for s in strings])
-        self.bounds = np.cumsum(n)
-        offset = np.arange(len(data)) - np.repeat(self.bounds - n, n)
+        offset = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
         padded = np.concatenate([data, np.zeros(SYMBOL, dtype=np.uint8)])
         sym = np.zeros(len(data), dtype=np.uint64)
         for k in range(SYMBOL):
             sym = sym << np.uint64(8) | padded[k: k + len(data)]
         at = np.nonzero(np.repeat(n, n) - offset >= SYMBOL)[0]
-        at = at[np.argsort(sym[at], kind="stable")]
-        self.suffix = at + first  # numbered through all shards of the bucket
-        self.symbol = sym[at]
-        self.before = np.where(offset[at] >= SYMBOL, sym[np.maximum(at - SYMBOL, 0)], 0)
-        self.has_before = offset[at] >= SYMBOL
+        at = at[np.argsort(sym[at])]
+        new = _borders(sym[at])
+        self.suffix = (at + first).astype(np.int32)  # numbered through all shards of the bucket
+        self.alphabet = sym[at[new]]
+        self.symbol = np.cumsum(new) - 1
+        number = np.empty(len(data), dtype=np.int64)
+        number[at] = self.symbol
+        self.before = np.where(offset[at] >= SYMBOL, number[np.maximum(at - SYMBOL, 0)], -1)
 
 
 def merge_repeats(shards: list[ShardBwt], length: int = LENGTH) -> np.ndarray:
     """Suffix numbers whose first ``length`` bytes start another suffix too, by interleave refinement of the shards' tables."""
+    alphabet = np.sort(np.concatenate([s.alphabet for s in shards]))
+    alphabet = alphabet[_borders(alphabet)]
     suffix = np.concatenate([s.suffix for s in shards])
-    symbol = np.concatenate([s.symbol for s in shards])
-    total = int(suffix.max(initial=-1)) + 1
-    before = np.zeros(total, dtype=np.uint64)
-    has = np.zeros(total, dtype=bool)
+    symbol, before = [], np.full(int(suffix.max(initial=-1)) + 1, -1, dtype=np.int32)
     for s in shards:
-        before[s.suffix], has[s.suffix] = s.before, s.has_before
-    z = np.argsort(symbol, kind="stable")  # round 1: the shards' sorted tables interleaved by first symbol
-    suffix, key = suffix[z], symbol[z]
-    border = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
+        joint = np.append(np.searchsorted(alphabet, s.alphabet), -1).astype(np.int32)  # the shard's numbers in the joint alphabet; -1 stays
+        symbol.append(joint[s.symbol])
+        before[s.suffix] = joint[s.before]
+    symbol = np.concatenate(symbol)
+    z = np.argsort(symbol)  # round 1: the shards' sorted tables interleaved by first symbol
+    suffix, border = suffix[z], _borders(symbol[z])
     for _ in range(length // SYMBOL - 1):
-        block = np.cumsum(border)
-        size = np.bincount(block) if len(block) else np.zeros(1, dtype=int)
-        live = size[block] > 1  # a block of one suffix is settled
-        suffix, block = suffix[live], block[live]
-        go = has[suffix]
-        suffix, block = suffix[go], block[go]
+        live = _shared(border)  # a block of one suffix is settled
+        block, suffix = np.cumsum(border)[live], suffix[live]
         c = before[suffix]
-        z = np.argsort(c, kind="stable")
-        suffix, block, c = suffix[z] - SYMBOL, block[z], c[z]
-        border = np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])]) if len(c) else np.zeros(0, dtype=bool)
-    block = np.cumsum(border)
-    size = np.bincount(block) if len(block) else np.zeros(1, dtype=int)
-    return suffix[size[block] > 1]
+        go = c >= 0
+        key = c[go].astype(np.int64) << 32 | block[go]  # dealt by the preceding symbol, the interleave's order kept
+        z = np.argsort(key)
+        suffix, border = suffix[go][z] - SYMBOL, _borders(key[z])
+    return suffix[_shared(border)]
 
 
 def repeated_windows(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
