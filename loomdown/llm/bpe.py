@@ -95,15 +95,20 @@ def bpe(piece: bytes, ranks: dict[bytes, int], lengths: list[int]) -> list[int]:
 
 
 class Bounded(dict):
-    """A table of computed values that starts anew when it is full."""
+    """A table of computed values in two generations of at most ``limit`` each: when the young one is full it becomes the old
+    one, whose values return when they are asked for. Frequent keys stay, rare ones leave, memory is bounded."""
 
     def __init__(self, make: Callable, limit: int):
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        v = self.old.get(key)
+        if v is None:
+            v = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        v = self[key] = self.make(key)
+        self[key] = v
         return v
 
 
@@ -118,7 +123,7 @@ def chunks(text: str) -> list[str]:
 class Encoder:
     """Encodes and decodes texts by a rank file and a pre-token pattern."""
 
-    def __init__(self, rank_file: str, pattern: str, limit: int = 500_000):
+    def __init__(self, rank_file: str, pattern: str, limit: int = 400_000):
         import regex
 
         self.ranks = load_ranks(rank_file)
