@@ -10,6 +10,9 @@
    fingerprints are keyed by themselves with every single bit flipped, where equal keys prove a distance <= 2, and
    linked to the key's smallest member. That keeps the same connected components with 65 rows per fingerprint.
 5. Connected components over distinct fingerprints, then the smallest document id of each component.
+
+``keep_one`` leaves exactly one row of each component, told apart by the component's root and not by its smallest id, so
+repeated and null ids join nothing.
 """
 
 from __future__ import annotations
@@ -53,17 +56,24 @@ def fingerprint_of(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp long): the fingerprint of each whole text as a signed 64-bit value; null text has no words."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+def _digest(text: Column) -> Column:
+    """SHA-256 of the text's bytes; that of a null text is empty."""
+    return F.coalesce(F.unhex(F.sha2(text.cast("string").cast("binary"), 256)), F.lit(b""))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """(id, fp long[, digest]): the fingerprint of each whole text as a signed 64-bit value; null text has no words."""
+    more = [_digest(F.col(text_col)).alias("digest")] if digest else []
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint_of((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), shingle)
                                for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["id", "fp", *names])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    names = src.columns[2:]
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long{', digest binary' if digest else ''}")
 
 
 def _cell(fp: Column) -> Column:
@@ -97,6 +107,12 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
+def _roots(rows: DataFrame, lows: DataFrame) -> DataFrame:
+    """(fp, low, root): ``lows`` (fp, low), one row per fingerprint of ``rows``, with the root of its component."""
+    comp = components(links(rows.select("fp").distinct()))
+    return written(lows.join(comp, lows.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: id, fp (signed long), component_id (smallest id of the linked documents).
 
@@ -105,27 +121,28 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are ignored.
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle))
-    fps = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    comp = components(links(fps.select("fp")))
-    roots = fps.join(comp, fps.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    roots = written(roots)
+    roots = _roots(rows, rows.groupBy("fp").agg(F.min("id").alias("low")))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = roots.join(lows, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The input's rows without near duplicates: of each component the row with the smallest id stays.
+    """The input's rows without near duplicates: of each component exactly one row stays.
 
-    Rows repeating an id are one document, of which one row stays (of different texts that of the smallest text hash).
+    It is a row with the component's smallest id (nulls last), among those of different texts that of the smallest text
+    digest, of equal rows any one. Rows repeating an id, or without an id, in different components are different documents.
     """
-    comp = simhash_components(docs, id_col, text_col, shingle)
-    stay = written(comp.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stay_id")))
-    names = docs.columns
-    kept = docs.join(stay.distinct(), docs[id_col].eqNullSafe(F.col("stay_id")), "left_semi").select(*[F.col(f"`{c}`") for c in names])
-    if stay.count() == stay.distinct().count():
-        return kept
-    t = F.col(text_col)
-    low = kept.groupBy(F.col(id_col).alias("low_id")).agg(F.min(F.coalesce(F.xxhash64(t), F.lit(0))).alias("low"))
-    one = kept.join(low, kept[id_col].eqNullSafe(F.col("low_id")) & (F.coalesce(F.xxhash64(t), F.lit(0)) == F.col("low")), "left_semi")
-    return one.dropDuplicates([id_col])
+    rows = written(fingerprints(docs, id_col, text_col, shingle, digest=True))
+    row = F.struct(F.col("id").isNull().alias("late"), "id", "digest", "n")
+    equal = rows.groupBy("fp", "id", "digest").agg(F.count("*").alias("n"))
+    roots = _roots(rows, equal.groupBy("fp").agg(F.min(row).alias("low")))
+    stay = written(roots.groupBy("root").agg(F.min("low").alias("low")).select("low.id", "low.digest", "low.n"))
+
+    def kept(which: DataFrame) -> DataFrame:  # id and digest determine the fingerprint and so the component
+        cond = docs[id_col].eqNullSafe(which["id"]) & (_digest(docs[text_col]) == which["digest"])
+        return docs.join(which, cond, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    if stay.where(F.col("n") > 1).isEmpty():
+        return kept(stay)
+    return kept(stay.where(F.col("n") == 1)).unionByName(kept(stay.where(F.col("n") > 1)).dropDuplicates([id_col, text_col]))

@@ -79,6 +79,23 @@ def test_simhash_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    rnd = random.Random(8)
+    far = [" ".join(rnd.choice("abcdefghij") * rnd.randint(1, 3) for _ in range(60)) for _ in range(8)]
+    a, b = far[:2]
+    data = [(5, a), (5, b), (7, b.upper()), (5, a), (9, a), (None, a), (None, b)]  # one id in two groups
+    data += [(None, t) for t in far[2:]] + [(None, far[2]), (11, far[3]), (None, None), (None, ""), (12, None), (12, "")]
+    df = spark.createDataFrame([(i, t, None, "s", "x", "y", 7) for i, t in data], SCHEMA)
+    root = brute_components([brute_fp(t) for _, t in data])
+    best = {}
+    for (i, _), r in zip(data, root):
+        best[r] = min(best.get(r, (True, 0)), (i is None, i or 0))
+    got = keep_one(df).collect()
+    group = {t: r for (_, t), r in zip(data, root)}
+    assert sorted(group[r.text] for r in got) == sorted(best)  # one row of every group, no more
+    assert all((r.doc_id is None, r.doc_id or 0) == best[group[r.text]] for r in got)
+
+
 @pytest.mark.parametrize("crowded", [2, 10**6])
 def test_crowded_cells_keep_components(spark, crowded):
     rnd = random.Random(3)
