@@ -45,12 +45,16 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def ngram_indices(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the index of its 2-gram, and that of its 3-gram (the last positions see spaces)."""
+def ngram_indices(data: np.ndarray, ends: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the index of its 2-gram, and that of its 3-gram (the last positions see spaces, as do those before ``ends``)."""
     c = _CLASS[np.concatenate([data, np.array([32, 32], dtype=np.uint8)])].astype(np.uint32)
-    two = c[:-1] << np.uint32(8) | c[1:]
-    three = ((two[:-1] << np.uint32(8) | c[2:]) * np.uint32(2654435761)) >> np.uint32(16)
-    return two[:-1], three + np.uint32(DIMS)
+    second, third = c[1:-1].copy(), c[2:].copy()
+    stop = np.asarray(ends, dtype=np.int64)
+    stop = stop[(stop > 0) & (stop <= len(data))]
+    second[stop - 1] = third[stop - 1] = third[stop[stop > 1] - 2] = 32
+    two = c[:-2] << np.uint32(8) | second
+    three = ((two << np.uint32(8) | third) * np.uint32(2654435761)) >> np.uint32(16)
+    return two, three + np.uint32(DIMS)
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -84,7 +88,10 @@ class Model:
 
 
 def text_margins(data: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Mean log-odds per n-gram and bit of the texts lying end to end in ``data``; blocks bound the memory."""
+    """Mean log-odds per n-gram and bit of the texts lying end to end in ``data``; blocks bound the memory.
+
+    A text's n-grams never see the next text, and those at a block's end see the text's bytes in the next block.
+    """
     out = np.zeros((len(ends), weights.shape[1]), dtype=np.float64)
     starts = np.concatenate([[0], ends[:-1]])
     i = 0
@@ -93,13 +100,13 @@ def text_margins(data: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.
         while j + 1 < len(ends) and ends[j + 1] - starts[i] <= _BLOCK:
             j += 1
         for lo in range(int(starts[i]), max(int(ends[j]), int(starts[i]) + 1), _BLOCK):
-            part = data[lo: min(lo + _BLOCK, int(ends[j]))]
-            if not len(part):
+            n = min(_BLOCK, int(ends[j]) - lo)
+            if n <= 0:
                 continue
-            two, three = ngram_indices(part)
-            s = weights[two] + weights[three]
-            at = np.clip(starts[i:j + 1] - lo, 0, len(part))
-            stop = np.clip(ends[i:j + 1] - lo, 0, len(part))
+            two, three = ngram_indices(data[lo: min(lo + n + 2, int(ends[j]))], ends[i:j + 1] - lo)
+            s = weights[two[:n]] + weights[three[:n]]
+            at = np.clip(starts[i:j + 1] - lo, 0, n)
+            stop = np.clip(ends[i:j + 1] - lo, 0, n)
             full = np.nonzero(stop > at)[0]
             if len(full):
                 cuts = at[full].astype(np.int64)

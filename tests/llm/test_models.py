@@ -47,6 +47,20 @@ def test_blocks_do_not_change_margins(monkeypatch):
     assert np.abs(whole - one).max() < 1.5 and (whole[[0, 3]] == 0).all()
 
 
+def test_margins_do_not_see_neighbours(monkeypatch):
+    rng = np.random.default_rng(4)
+    lengths = [1, 0, 1, 2, 5, 1, 0, 3, 700, 1, 2, 0]
+    data, ends = rng.integers(97, 123, sum(lengths)).astype(np.uint8), np.cumsum(lengths)
+    w = rng.normal(size=(2 * L.DIMS, 3)).astype(np.float32)
+    want = []
+    for a, b in zip([0, *ends[:-1]], ends):
+        two, three = L.ngram_indices(data[a:b])
+        want.append((w[two].astype(float) + w[three]).sum(axis=0) / max(b - a, 1))
+    for block in (L._BLOCK, 64, 7, 1):
+        monkeypatch.setattr(L, "_BLOCK", block)
+        assert np.abs(L.text_margins(data, ends, w) - np.stack(want)).max() < 1e-4
+
+
 def test_toxicity_counterfactual(spark):
     rnd = random.Random(2)
     plain = ["report", "garden", "window", "paper", "river", "market"]
