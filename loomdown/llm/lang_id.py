@@ -5,7 +5,8 @@ the languages whose bit is 1 against the others, scaled by logistic calibration)
 logistic loss of the margins against each codeword, every bit weighted by its accuracy in training, takes the codeword
 of least loss and flags texts whose runner-up is nearly as good.
 
-Fitting uses at most ``MAX_TRAIN_ROWS`` labelled rows (a hash sample; whole texts): one half gives the n-gram counts, which
+Languages are those of all labelled rows. Fitting uses about ``MAX_TRAIN_ROWS`` of the rows (a hash sample; whole texts), but of each
+language at least about ``MIN_LANGUAGE_ROWS``, or all its rows if they are fewer: one half gives the n-gram counts, which
 Spark sums by language, the other half the calibration. The model has a fixed size and goes to the tasks as a broadcast.
 """
 
@@ -17,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdown.llm.common import bounded_sample, written
+from loomdown.llm.common import written
 
 MAX_TRAIN_ROWS = 8000
+MIN_LANGUAGE_ROWS = 40
 MAX_LANGUAGES = 512
 DIMS = 1 << 16  # per n-gram order: two bytes directly, three bytes hashed
 AMBIGUOUS = 0.1
@@ -169,17 +171,37 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.0) / sd, b
 
 
+def _sample(rows: DataFrame, sizes: dict[str, int], max_rows: int) -> DataFrame:
+    """About ``max_rows`` rows by a hash of the id, and about MIN_LANGUAGE_ROWS of each language with fewer among them; all when there are fewer."""
+    base = max_rows / sum(sizes.values())
+    if base >= 1:
+        return rows
+    rare = [(lang, MIN_LANGUAGE_ROWS / n) for lang, n in sizes.items() if n * base < MIN_LANGUAGE_ROWS]
+
+    def part(*cols) -> Column:  # a fraction of 40 bits
+        h = F.xxhash64(F.lit("sample"), *cols)
+        return F.pmod(h, F.lit(1 << 20)) / (1 << 20) + F.pmod(F.shiftright(h, 20), F.lit(1 << 20)) / (1 << 40)
+
+    if not rare:
+        return rows.where(part("id") < base)
+    shares = F.broadcast(rows.sparkSession.createDataFrame(rare, "rare string, share double"))
+    j = rows.join(shares, rows.lang == shares.rare, "left")
+    # few distinct ids must not take or leave a rare language as a whole
+    return j.where(F.when(F.col("share").isNull(), part("id") < base).otherwise(part("id", "t") < F.col("share"))).select("lang", "t", "id")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
     """A model of the languages of ``docs``; rows without text or language are left out. None if there are none."""
     spark = docs.sparkSession
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"), F.col(id_col).alias("id"))
-    sample = written(bounded_sample(rows, "id", max_rows).select("lang", "t", (F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == 0).alias("counted")))
-    languages = sorted(r.lang for r in sample.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    languages = sorted(sizes)
     if not languages:
         return None
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sample = written(_sample(rows, sizes, max_rows).select("lang", "t", (F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == 0).alias("counted")))
     code = codewords(len(languages))
     grams = _count_ngrams(sample.where("counted").select("lang", "t")).toPandas()
     counts = np.zeros((len(languages), 2 * DIMS))

@@ -37,6 +37,20 @@ def test_language(spark):
     assert {r.lang_pred for r in L.predict(df, None).collect()} == {"und"} and L.predict(empty, None).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice(WORDS[lang]) for _ in range(20)), lang) for i, lang in enumerate(["aa", "bb"] * 2000 + ["cc"] * 60)]
+    rows += [(7, f"zorvix qulmar {i}", "dd") for i in range(50)] + [(9000, "wexu", "ee")]  # one id throughout; a single row
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df, max_rows=30)
+    assert model.languages == ["aa", "bb", "cc", "dd", "ee"]
+    got = L.predict(df.where("lang in ('cc', 'dd')"), model).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"cc": 60, "dd": 50}
+    sizes = {r.lang: r["count"] for r in df.groupBy("lang").count().collect()}
+    kept = {r.lang: r["count"] for r in L._sample(df.select("lang", df.text.alias("t"), df.doc_id.alias("id")), sizes, 1000).groupBy("lang").count().collect()}
+    assert kept["ee"] == 1 and min(kept["cc"], kept["dd"]) >= 20 and sum(kept.values()) < 1200
+
+
 def test_blocks_do_not_change_margins(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 110, 3000).astype(np.uint8)
