@@ -6,13 +6,13 @@ consecutive windows of one anchor occurrence form a territory (about 85 windows)
 
 * Anchors met once cannot lie in a repeat; counting them is a partial aggregation.
 * Equal territories repeat in all their windows; equality is a 64-bit territory hash besides the 64-bit anchor hash.
-* Different territories of one anchor share some windows or none. Of each distinct one a single representative goes to
-  its anchor's bucket. A bucket's strings form shards, each a Burrows-Wheeler table over 8-byte symbols (suffixes
-  ordered by first symbol, and the symbol before each suffix). The tables are merged by iterative interleave
-  refinement: each round stably deals the interleave by the preceding symbol, which orders it by one more symbol, and the
-  block borders that appear in round h are the places whose common prefix is h-1 symbols. Blocks of one suffix are
+* Different territories of one anchor share some windows or none. Only these reach the merge. Of each distinct one a
+  single representative goes to its anchor's bucket. A bucket's strings form shards, each a table over 8-byte symbols
+  (suffixes ordered by their first symbol only, and the symbol before each suffix; no full Burrows-Wheeler table). The
+  tables are merged by iterative interleave refinement: each round orders the live suffixes by the preceding symbol and
+  their block, an argsort of packed keys, which orders them by one more symbol, and the block borders that appear in round h are the places whose common prefix is h-1 symbols. Blocks of one suffix are
   settled and leave. After length/8 rounds the blocks left are the repeated intervals of common prefix >= length. No
-  round compares or sorts whole suffixes.
+  round compares whole suffixes.
 * An anchor with more than ``HOT`` distinct territories (a passage's edge amid thousands of contexts) would fill one task;
   its windows are instead counted by 128-bit window hashes, one row per window, an aggregation that spreads.
 
