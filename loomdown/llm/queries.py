@@ -84,6 +84,26 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark, sf_dir):
+    from loomdown.llm.whitening import whitened_embeddings
+
+    return whitened_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
+def turn_repair_rows(conversations):
+    """The contract's rows of a conversations table: damage, repair, digests."""
+    from loomdown.llm.turn_repair import conversation_hashes, damaged, repair
+
+    summary, turns = repair(damaged(conversations))
+    sha = conversation_hashes(turns).withColumnRenamed("conv", "hashed")
+    j = summary.join(sha, summary["conv"].eqNullSafe(sha["hashed"]))
+    return j.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_turn_repair(spark, sf_dir):
+    return turn_repair_rows(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_lang_id": op1_lang_id,
     "op2_packing": op2_packing,
@@ -95,6 +115,8 @@ QUERIES = {
     "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 _TRIM = "trim(l, ' ' || chr(9) || chr(13))"
