@@ -84,6 +84,13 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op11_recompression(spark, sf_dir):
+    from loomdown.llm.recompression import remove_repeats
+
+    r = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op12_whitening(spark, sf_dir):
     from loomdown.llm.whitening import whitened_embeddings
 
@@ -115,6 +122,7 @@ QUERIES = {
     "op8_decontam": op8_decontam,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_recompression": op11_recompression,
     "op12_whitening": op12_whitening,
     "op13_turn_repair": op13_turn_repair,
 }
