@@ -33,7 +33,20 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: lineage ends there, lost executors re-read files."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_folder = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that no later step reads (what was made from them must be written itself), and asks the JVM for a
+    collection, after which Spark drops the shuffle files of finished steps."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._written_folder)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdown.llm.common import written
+from loomdown.llm.common import release, written
 from loomdown.llm.lang_id import _buffers
 
 WIDTH = 20
-ROUNDS = 3
+ROUNDS = 4
 #: a block's bytes, and the words of one slice of a long text
 BLOCK = 1 << 19
 SLICE = 1 << 17
@@ -266,12 +266,15 @@ def _window_rows(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     return j.mapInArrow(run, f"w1 long, w2 long, id {docs.schema['id'].dataType.simpleString()}, tk long, lo long")
 
 
-def _later(rows: DataFrame, keys: list[str], place: str) -> tuple[DataFrame, DataFrame]:
-    """(classes with their first row's id, tk and place as ``f`` and their number of rows, the rows that are not the first of their class)."""
-    classes = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("id", "tk", place)).alias("f")))
+def _classes(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Each class of equal rows: their number n and the id, tk and place of the first as ``f``."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("id", "tk", place)).alias("f"))
+
+
+def _later(rows: DataFrame, classes: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """The rows that are not the first of their class."""
     many = classes.where("n > 1").select(*keys, "f")
-    here = F.struct("id", "tk", place)
-    return classes, rows.join(many, keys).where(~here.eqNullSafe(F.col("f"))).drop("f")
+    return rows.join(many, keys).where(~F.struct("id", "tk", place).eqNullSafe(F.col("f"))).drop("f")
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
@@ -279,14 +282,20 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) ->
     rows = written(_stretch_rows(docs, width, rounds))
     shared = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     met = written(rows.join(shared, "h"))
-    classes, later = _later(met, ["h", "t1", "t2"], "pos")
+    release(rows, shared)
+    keys = ["h", "t1", "t2"]
+    classes = written(_classes(met, keys, "pos"))
     start = F.shiftright("pos", 8)
-    whole = later.select("id", "tk", start.alias("lo"), (start + F.col("pos").bitwiseAND(F.lit(255)) + (width - 1)).alias("hi"))
-    mixed = written(classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"))
-    reps = classes.join(mixed, "h").select("f.id", "f.tk", "f.pos")
-    seen = written(_window_rows(docs, reps, width))
-    _, again = _later(seen, ["w1", "w2"], "lo")
-    return whole.unionByName(again.select("id", "tk", "lo", (F.col("lo") + width).alias("hi")))
+    whole = written(_later(met, classes, keys, "pos").select(
+        "id", "tk", start.alias("lo"), (start + F.col("pos").bitwiseAND(F.lit(255)) + (width - 1)).alias("hi")))
+    release(met)
+    mixed = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    seen = written(_window_rows(docs, classes.join(mixed, "h").select("f.id", "f.tk", "f.pos"), width))
+    release(classes)
+    windows = written(_classes(seen, ["w1", "w2"], "lo"))
+    again = written(_later(seen, windows, ["w1", "w2"], "lo").select("id", "tk", "lo", (F.col("lo") + width).alias("hi")))
+    release(seen, windows)
+    return whole.unionByName(again)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
@@ -301,15 +310,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("width must be 2 to 255")
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    copies = written(src.groupBy("id", "tk").agg(F.count("*").alias("m")).where("m > 1"))
-    copies = copies.select(F.col("id").alias("cid"), F.col("tk").alias("ctk"), "m")
-    j = src.join(copies, src["id"].eqNullSafe(F.col("cid")) & (src["tk"] == F.col("ctk")), "left").select("id", "tk", "text", "m")
-    once = j.where("m is null").unionByName(j.where("m is not null").dropDuplicates(["id", "tk"]))
+    src = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    # a text key only where an id repeats; elsewhere the id says it all
+    repeated = written(src.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias("rid"), F.lit(True).alias("rep")))
+    keyed = src.join(repeated, src["id"].eqNullSafe(F.col("rid")), "left").select("id", F.when(F.col("rep"), F.xxhash64("text")).otherwise(0).alias("tk"), "text", "rep")
+    several = keyed.where("rep").groupBy("id", "tk").agg(F.first("text").alias("text"), F.count("*").alias("m"))
+    once = keyed.where("rep is null").select("id", "tk", "text", F.lit(1).cast("long").alias("m")).unionByName(several)
     spans = repeated_spans(once.select("id", "tk", "text"), width, rounds).distinct()
     of_doc = spans.groupBy("id", "tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     of_doc = of_doc.select(F.col("id").alias("sid"), F.col("tk").alias("stk"), "spans")
-    all_ = once.join(of_doc, once["id"].eqNullSafe(F.col("sid")) & (once["tk"] == F.col("stk")), "left").select("id", "text", "spans", F.coalesce("m", F.lit(1)).alias("m"))
+    all_ = once.join(of_doc, once["id"].eqNullSafe(F.col("sid")) & (once["tk"] == F.col("stk")), "left").select("id", "text", "spans", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
