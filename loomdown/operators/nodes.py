@@ -3,7 +3,7 @@
 ``nodes(page_id, pos, ord, sub, elem, end, depth, parent, kind, tag, amap, cls, role, text, any_text, piece)``
 
 * one row per token (N1), ``pos`` is the token index inside the page;
-* nested-set interval ``[pos, end)`` per element, exclusive ``end`` (N3) computed by a per-page stack pass: a close tag
+* nested-set interval ``[pos, end)`` per element, exclusive ``end`` (N3): a close tag
   pops through the nearest open element with that tag (matched: ``end = close + 1``; popped with it: ``end = close``),
   a close tag with no such open element is ignored, elements left open end at the page's token count;
 * ``depth`` = number of enclosing elements, ``parent`` = position of the innermost one (N4);
@@ -11,7 +11,7 @@
 
 Physical plan: pages are hash-partitioned by ``page_id`` once, *before* the explode, so every later window, aggregate
 and self-join keyed by ``page_id`` reuses that partitioning and the only Exchange moves the raw page rows.
-The stack pass runs inside the page row as a native ``aggregate`` over chunks of events, alike for pages of every size.
+The nesting of a page is one linear walk over its events (``operators.nesting``); very long pages are nested in pieces by several tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from loomdown.functions import constants as K
 from loomdown.functions.text import WS, decode_entities, strip_ws
+from loomdown.operators.nesting import SPLIT, events_of, nest_long, nest_whole
 
 # N1 token pattern (Java regex). Possessive quantifiers keep long attribute values / text runs from backtracking.
 # One alternative per raw-text element so that '<script>...</style>' is never taken as one token.
@@ -51,41 +52,6 @@ KIND_SQL = f"""case
          else 'open' end
   else 'text' end"""
 
-NODE_STRUCT = "struct<p:int,e:int,d:int,par:int>"
-
-# Stack pass over the page's events (k: 1 open, 2 close, 0 leaf), as native higher-order aggregates. An aggregate copies
-# its state at every step, so the finished elements of at most NEST_CHUNK events are gathered at a time and appended to
-# the page's as one array: the copying per event does not grow with the page.
-NEST_CHUNK = 256
-_FROM = "array_position(reverse(transform(a.st, s -> s.t)), e.t)"  # 1 = the top of the stack
-_STACK = "array<struct<t:string,p:int,d:int,par:int>>"
-
-
-def nest_sql(chunk: int = NEST_CHUNK) -> str:
-    """Array of (p, e, d, par) for every element and leaf of the page's events ``ev`` (``n_tok`` tokens)."""
-    step = f"""case
-      when e.k = 1 then named_struct(
-          'st', array_append(a.st, named_struct('t', e.t, 'p', e.p, 'd', size(a.st), 'par', try_element_at(a.st, -1).p)),
-          'out', a.out)
-      when e.k = 2 and exists(a.st, s -> s.t = e.t) then named_struct(
-          'st', slice(a.st, 1, size(a.st) - {_FROM}),
-          'out', array_append(
-             concat(a.out, transform(
-                slice(a.st, size(a.st) - {_FROM} + 1, size(a.st)),
-                s -> named_struct('p', s.p, 'e', case when s.t = e.t then e.p + 1 else e.p end, 'd', s.d, 'par', s.par))),
-             named_struct('p', e.p, 'e', e.p + 1, 'd', cast(size(a.st) - {_FROM} as int),
-                          'par', try_element_at(slice(a.st, 1, size(a.st) - {_FROM}), -1).p)))
-      else named_struct('st', a.st, 'out', array_append(a.out,
-          named_struct('p', e.p, 'e', e.p + 1, 'd', size(a.st), 'par', try_element_at(a.st, -1).p)))
-    end"""
-    return f"""aggregate(
-  transform(sequence(0, greatest(size(ev) - 1, 0) div {chunk}), i -> slice(ev, cast(i * {chunk} + 1 as int), {chunk})),
-  named_struct('st', cast(array() as {_STACK}), 'outs', cast(array() as array<array<{NODE_STRUCT}>>)),
-  (b, part) -> aggregate(part, named_struct('st', b.st, 'out', cast(array() as array<{NODE_STRUCT}>)), (a, e) -> {step},
-                         a -> named_struct('st', a.st, 'outs', array_append(b.outs, a.out))),
-  b -> concat(flatten(b.outs), transform(b.st, s -> named_struct('p', s.p, 'e', n_tok, 'd', s.d, 'par', s.par))))"""
-
-
 def page_partitions(spark) -> int:
     """Partitions for the page shuffle: the session's shuffle partitions, at least the default parallelism."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -133,31 +99,30 @@ def attr(name: str, amap: str = "amap") -> Column:
     return F.col(amap)[F.lit(name)]
 
 
-def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html", partitioned: bool = False) -> DataFrame:
-    """Node table, hash-partitioned by page_id (see module doc)."""
-    pid = F.col("page_id") if key == "page_id" else F.col(key).alias("page_id")
-    toks = pages.select(pid, F.regexp_extract_all(F.col(html), F.lit(TOKEN_RE), 1).alias("toks"))
-    # kind and tag are computed once per token here and carried to the rows
+def _tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(page_id, toks, kinds, tags): kind and tag are computed once per token and carried to the rows."""
+    toks = tokenize(pages, key, html)
     kinds = toks.select("page_id", "toks", F.expr(f"transform(toks, tok -> {KIND_SQL})").alias("kinds"))
-    ev = kinds.select(
-        "page_id", "toks", "kinds", F.size("toks").cast("int").alias("n_tok"),
-        F.expr(f"""transform(toks, (tok, i) -> named_struct(
-            'k', case kinds[i] when 'open' then 1 when 'close' then 2 else 0 end,
-            't', case when kinds[i] in ('open', 'close', 'void', 'raw') then {TAG_SQL} end,
-            'p', i))""").alias("ev"),
-    )
-    nested = ev.select("page_id", "toks", "ev", "kinds", F.expr(nest_sql()).alias("out"))
+    return kinds.select("page_id", "toks", "kinds", F.expr(
+        f"transform(toks, (tok, i) -> case when kinds[i] in ('open', 'close', 'void', 'raw') then {TAG_SQL} end)").alias("tags"))
+
+
+def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html", partitioned: bool = False, split: int = SPLIT) -> DataFrame:
+    """Node table, hash-partitioned by page_id (see module doc) unless ``partitioned`` leaves rows where they are. Pages over
+    ``split`` bytes are nested in pieces."""
+    size = F.octet_length(F.col(html))
+    short = _tokens(pages.where(F.coalesce(size, F.lit(0)) <= split), key, html)
+    whole = short.select("page_id", "toks", "kinds", "tags", F.lit(0).alias("first"), nest_whole(events_of()).alias("nest"))
+    # a long page's pieces arrive from different tasks; both kinds of rows hold token arrays and their nesting
+    nested = whole.unionByName(nest_long(_tokens(pages.where(size > split), key, html)))
     if not partitioned:
-        # Tokens and nesting are computed map-side in the page row. One Exchange moves the page rows by page_id; an explicit count because the explode multiplies the per-page work several times over, so AQE
-        # must not merge these small-looking partitions by input size.
+        # Tokens and nesting are computed before the one Exchange that moves the page rows by page_id. An explicit count: the explode
+        # multiplies the per-page work several times over, so AQE must not merge these small-looking partitions by input size.
         nested = nested.repartition(page_partitions(pages.sparkSession), "page_id")
-    rows = nested.select(
-        "page_id",
-        F.inline(F.transform("out", lambda o: F.struct(
-            o["p"].alias("pos"), o["e"].alias("end"), o["d"].alias("depth"), o["par"].alias("parent"),
-            F.element_at("toks", o["p"] + 1).alias("tok"), F.element_at("kinds", o["p"] + 1).alias("kind"),
-            F.element_at("ev", o["p"] + 1)["t"].alias("tag")))),
-    )
+    zipped = F.transform("nest", lambda o, i: F.struct(
+        (F.col("first") + i).alias("pos"), o["e"].alias("end"), o["d"].alias("depth"), o["par"].alias("parent"),
+        F.get("toks", i).alias("tok"), F.get("kinds", i).alias("kind"), F.get("tags", i).alias("tag")))
+    rows = nested.select("page_id", F.inline(zipped))
     rows = rows.withColumn("amap", F.when(F.col("kind").isin("open", "void", "raw"), attr_map(_attrs(F.col("tok")))))
     raw_body = F.regexp_extract("tok", r"(?is)^<[a-z][^>]*+>(.*)</[a-z]+\s*>$", 1)
     text = (
