@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import html.entities
 import json
+import zlib
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,16 +53,26 @@ def collapse_ws(c: Column) -> Column:
 _REFERENCE = r"(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&)"
 
 
-def _json_map(table: dict[str, str]) -> Column:
-    """A constant map; folded once when the plan is optimised."""
-    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+@lru_cache(maxsize=None)
+def _bucket_json(table: tuple[tuple[str, str], ...]) -> str:
+    buckets: list[dict[str, str]] = [{} for _ in range(2 * len(table))]
+    for k, v in table:
+        buckets[zlib.crc32(k.encode()) % len(buckets)][k] = v
+    return json.dumps(buckets)
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """The key's value in a constant table, NULL when absent. A map literal is searched from its start, so the table lies in
+    buckets by the key's hash: a look-up reads one bucket of few entries, however long the table. Folded once when the plan is optimised."""
+    buckets = F.from_json(F.lit(_bucket_json(tuple(table.items()))), "array<map<string,string>>")
+    return F.get(buckets, (F.crc32(F.encode(key, "UTF-8")) % (2 * len(table))).cast("int"))[key]
 
 
 def decode_entities(c: Column) -> Column:
     """Every character reference once, in one pass over the pieces: numeric (any number of digits; 128-159 as
     Windows-1252, invalid code points as U+FFFD) and named by the HTML table (without ';' where HTML allows that)."""
-    named = _json_map({"&" + k: v for k, v in html.entities.html5.items()})
-    remap = _json_map({str(k): bytes([k]).decode("cp1252") for k in range(128, 160) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)})
+    named = {"&" + k: v for k, v in html.entities.html5.items()}
+    remap = {str(k): bytes([k]).decode("cp1252") for k in range(128, 160) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
     def piece(p):
         is_hex = p.rlike("^&#[xX]")
@@ -68,8 +80,8 @@ def decode_entities(c: Column) -> Column:
         short = F.when(F.length(digits).between(1, 8), digits)
         cp = F.when(is_hex, F.conv(short, 16, 10)).otherwise(short).try_cast("long")
         valid = cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-        char = F.when(valid, F.coalesce(remap[cp.cast("string")], F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))).otherwise("\ufffd")
-        return F.when(p.startswith("&#") & (F.length(p) > 2), char).when(p.startswith("&") & (F.length(p) > 1), F.coalesce(named[p], p)).otherwise(p)
+        char = F.when(valid, F.coalesce(_lookup(remap, cp.cast("string")), F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))).otherwise("\ufffd")
+        return F.when(p.startswith("&#") & (F.length(p) > 2), char).when(p.startswith("&") & (F.length(p) > 1), F.coalesce(_lookup(named, p), p)).otherwise(p)
 
     return F.when(c.contains("&"), F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), 1), piece), "")).otherwise(c)
 

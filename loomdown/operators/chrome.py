@@ -1,14 +1,12 @@
 """Page-chrome removal on the node table, stage by stage, plus the main-region choice.
 
-Every stage is a set operation over the page's rows in ``(pos, ord, sub)`` order and uses windows only - no
-self-joins, so the lineage never forks and a stage is a pass over partitions that are already clustered by
-``page_id``:
+Every stage is a set operation over the page's rows in ``(pos, ord, sub)`` order, a pass over partitions that are already
+clustered by ``page_id``, without self-joins:
 
 * N6 drop-subtree: running ``max(end of doomed elements) > pos`` -> dead.
 * The 5000-character guards (F4-F6) read the text left by earlier stages: running sum of live piece lengths; the
-  element's length = value at its end marker - value before its open row, read with a window over
-  ``(page_id, elem)`` (an element's open row and its end marker share ``elem``). The four guarded stages are resolved
-  in one exact pass: a fold over the page's guard candidates in (stage, position) order.
+  element's length = value at its end marker - value before its open row (an element's open row and its end marker share
+  ``elem``). The four guarded stages are resolved in one exact sweep over the page's candidates (``guard_sweep``).
 * F8 (branding) groups each candidate parent with its direct text children (window over ``(page_id, parent)``) and
   resolves the few candidates of a page in platform-name order.
 * F14 takes the page minimum of ``(priority, pos)`` with an unbounded window.
@@ -16,11 +14,15 @@ self-joins, so the lineage never forks and a stage is a pass over partitions tha
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdown.functions import constants as K
-from loomdown.operators.nodes import attr
+from loomdown.operators.nodes import attr, page_partitions
 
 ORDER = ["pos", "ord", "sub"]
 
@@ -71,31 +73,65 @@ def text_len() -> Column:
     return F.coalesce(F.length("piece"), F.lit(0))
 
 
+def guard_sweep(cands: list[tuple[int, int, int, int]], stages: int, max_text: int) -> list[tuple[int, int]]:
+    """(pos, end) of the elements that the guarded stages remove, one stage after another, from a page's candidates
+    (pos, end, stages as bits, live text before the first stage).
+
+    A stage reads its candidates in document order. What earlier stages took away lies in a list by position with a prefix sum of
+    its text and a running maximum of its ends, so a candidate's remaining text and whether it is gone already are two look-ups;
+    within a stage an outer element is judged before anything inside it, and what it covers is skipped. Linear in the candidates but for the look-ups."""
+    cands = sorted(cands)
+    gone: list[tuple[int, int, int]] = []
+    for stage in range(stages):
+        at = [g[0] for g in gone]
+        text = list(accumulate((g[2] for g in gone), initial=0))
+        reach = list(accumulate((g[1] for g in gone), max, initial=0))
+        cover, new = 0, []
+        for pos, end, bits, total in cands:
+            if not bits >> stage & 1 or cover > pos:
+                continue
+            k = bisect_right(at, pos)
+            if reach[k] > pos:
+                continue
+            left = total - (text[bisect_left(at, end)] - text[bisect_left(at, pos)])
+            if left <= max_text:
+                new.append((pos, end, left))
+                cover = end
+        gone = sorted(gone + new)
+    return [(p, e) for p, e, _ in gone]
+
+
 def drop_guarded_stages(nodes: DataFrame, stages: list[Column], max_text: int = K.SIDEBAR_MAX_TEXT) -> DataFrame:
-    """F4-F6 in one pass, exactly equal to running the guarded stages one after another.
-
-    Each candidate is judged on the text still live when its stage runs: its length after the earlier stages equals its
-    length now minus what earlier removals inside it took away (every removal takes exactly the live text of its
-    subtree, so nothing is counted twice). The page's candidates, ordered by (stage, position), are folded once per
-    page (on its first candidate row) and the result is spread over the page with an unordered window."""
-    n = element_measure(nodes, text_len(), "_tlen")
-    entries = F.filter(F.array(*[F.when(c, F.struct(F.lit(i).alias("stage"), F.col("pos"), F.col("end"), F.col("_tlen").alias("tlen")))
-                                 for i, c in enumerate(stages, start=1)]), lambda e: e.isNotNull())
-    is_cand = F.col("live") & IS_ELEM() & (F.size(entries) > 0)
-    n = n.withColumn("_e", F.when(is_cand, entries))
-    n = n.withColumn("_all", F.array_sort(F.flatten(F.collect_list("_e").over(PAGE()))))
-    first = is_cand & (F.col("pos") == F.col("_all")[0]["pos"])
-    fold = F.expr(f"""aggregate(_all, cast(array() as array<struct<pos:int,end:int,rem:bigint>>),
-        (acc, x) -> case
-          when exists(acc, r -> r.pos <= x.pos and x.pos < r.end) then acc
-          when x.tlen - aggregate(filter(acc, r -> x.pos <= r.pos and r.pos < x.end), cast(0 as bigint), (s, r) -> s + r.rem) <= {int(max_text)}
-            then array_append(acc, named_struct('pos', x.pos, 'end', x.end,
-                 'rem', x.tlen - aggregate(filter(acc, r -> x.pos <= r.pos and r.pos < x.end), cast(0 as bigint), (s, r) -> s + r.rem)))
-          else acc end)""")
-    n = n.withColumn("_rm", F.when(first, fold))
-    n = n.withColumn("_rm", F.when(F.size(F.col("_all")) > 0, F.max("_rm").over(PAGE())))
-    doomed = F.coalesce(F.exists(F.col("_rm"), lambda r: r["pos"] == F.col("pos")), F.lit(False))
-    return drop_subtrees(n, doomed).drop("_tlen", "_e", "_all", "_rm")
+    """F4-F6, exactly equal to running the guarded stages one after another, by one sweep over each page's candidates.
+
+    A candidate's live text before the first stage is the running sum of live text at its end less that before its start; only
+    these two rows of the few candidates are gathered per page, and ``guard_sweep`` judges them. The removed intervals join the page's
+    rows as rows of their own, so that one running maximum drops what they cover; no row ever carries the page's candidates."""
+    own = F.when(F.col("live") & (F.col("ord") == 0), text_len()).otherwise(F.lit(0))
+    bits = F.lit(0)
+    for i, c in enumerate(stages):
+        bits = bits + F.when(F.coalesce(c, F.lit(False)), 1 << i).otherwise(0)
+    start = F.col("live") & IS_ELEM()
+    r = nodes.select("page_id", *ORDER, "elem", "end", own.alias("own"), F.sum(own).over(RUN()).alias("cum"),
+                     F.when(start | (F.col("ord") == 1), bits).otherwise(0).alias("bits")).where("bits > 0")
+    r = r.groupBy("page_id", "elem").agg(
+        F.max("end").alias("end"), F.max("bits").alias("bits"), F.max(F.when(F.col("ord") == 0, F.col("cum") - F.col("own"))).alias("a"),
+        F.max(F.when(F.col("ord") == 1, F.col("cum"))).alias("z")).where("a is not null")
+    per_page = r.groupBy("page_id").agg(F.collect_list(F.struct(F.col("elem").alias("p"), F.col("end").alias("e"), "bits", (F.col("z") - F.col("a")).alias("n"))).alias("c"))
+
+    n_stages = len(stages)
+
+    @F.arrow_udf("array<struct<pos:int,kill:int>>")
+    def sweep(col: pa.Array) -> pa.Array:
+        out = [[{"pos": p, "kill": e} for p, e in guard_sweep([(x["p"], x["e"], x["bits"], x["n"]) for x in c], n_stages, max_text)] for c in col.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("pos", pa.int32()), ("kill", pa.int32())])))
+
+    kills = per_page.select("page_id", F.inline(sweep("c"))).select("page_id", "pos", F.lit(-1).alias("ord"), F.lit(0).alias("sub"), "kill")
+    # Python drops the partitioning of these few rows; dealt by page again they meet the page's rows without an Exchange of those
+    kills = kills.repartition(page_partitions(nodes.sparkSession), "page_id")
+    n = nodes.withColumn("kill", F.lit(None).cast("int")).unionByName(kills, allowMissingColumns=True)
+    cover = F.max("kill").over(RUN())
+    return n.withColumn("live", F.col("live") & ~F.coalesce(cover > F.col("pos"), F.lit(False))).where("ord >= 0").drop("kill")
 
 
 def _ci_search(c: Column, pattern: str) -> Column:

@@ -1,4 +1,4 @@
-"""End, depth and parent of every token of a page.
+"""End, depth and parent of every token of a page, and the innermost message container around it.
 
 The rule: an open tag lies inside all elements still open; a close tag ends the nearest open element of its name and every
 element opened inside that one, or nothing if there is none; what is open at the page's end ends there.
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdown.functions import constants as K
+
 SPLIT = 8 << 20
 PIECE = 1 << 16
 FAN = 64
@@ -34,24 +36,27 @@ ROUNDS = 3  # 64^3 pieces of 65,536 tokens: more tokens than one string can hold
 OPEN, CLOSE, LEAF = "+", "-", "."
 
 Event = tuple[int, str]  # position, sign and tag
+BOXES = frozenset(K.CONTAINER_TAGS)
 
 
-def walk(events: list[str], base: int = 0, stack: list[tuple[str, int]] | None = None) -> tuple[list[int], list[int], list[int]]:
-    """(end, depth, parent) of each event, given the elements open before the first (tag, position), outermost first. The end of an
-    element left open is -1, the parent of a token outside all elements -1."""
-    stack = list(stack or [])
+def walk(events: list[str], base: int = 0, stack: list[tuple[str, int]] | None = None) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(end, depth, parent, box) of each event, given the elements open before the first (tag, position), outermost first. box is the
+    innermost element of BOXES around it: an ancestor-descendant join made by the same pass, as the stack holds a token's ancestors.
+    The end of an element left open is -1, the parent or box of a token that has none -1."""
+    up: list[tuple[str, int, int]] = []
     names: dict[str, int] = {}
-    for t, _ in stack:
+    for t, q in stack or []:
+        up.append((t, q, q if t in BOXES else up[-1][2] if up else -1))
         names[t] = names.get(t, 0) + 1
     n = len(events)
-    end, depth, parent = [0] * n, [0] * n, [0] * n
+    end, depth, parent, box = [0] * n, [0] * n, [0] * n, [0] * n
     for i, e in enumerate(events):
         p = base + i
         sign = e[0]
         if sign == CLOSE and names.get(e[1:]):
             tag = e[1:]
             while True:
-                t, q = stack.pop()
+                t, q, _ = up.pop()
                 names[t] -= 1
                 if t == tag:
                     if q >= base:
@@ -59,16 +64,16 @@ def walk(events: list[str], base: int = 0, stack: list[tuple[str, int]] | None =
                     break
                 if q >= base:
                     end[q - base] = p
-        depth[i] = len(stack)
-        parent[i] = stack[-1][1] if stack else -1
+        depth[i] = len(up)
+        parent[i], box[i] = up[-1][1:] if up else (-1, -1)
         if sign == OPEN:
             tag = e[1:]
             end[i] = -1
-            stack.append((tag, p))
+            up.append((tag, p, p if tag in BOXES else box[i]))
             names[tag] = names.get(tag, 0) + 1
         else:
             end[i] = p + 1
-    return end, depth, parent
+    return end, depth, parent, box
 
 
 def reduce_events(events: Iterator[Event], rooted: bool) -> tuple[list[Event], list[tuple[int, int, int, str]]]:
@@ -104,67 +109,57 @@ def events_of(kinds: str = "kinds", tags: str = "tags") -> Column:
         when 'close' then concat('{CLOSE}', {tags}[i]) else '{LEAF}' end), ' ')""")
 
 
-NEST = "array<struct<e:int,d:int,par:int>>"
+NEST = "array<struct<e:int,d:int,par:int,box:int>>"
+
+
+class _Rows:
+    """Collects the walks of several pages or pieces into one Arrow column."""
 
+    def __init__(self):
+        self.offsets, self.columns = [0], ([], [], [], [])
 
-def _lists(offsets: list[int], end, depth, parent) -> pa.Array:
-    """Rows of (end, depth, parent) per page; a parent of -1 becomes null."""
-    par = np.array(parent, dtype=np.int32)
-    rows = pa.StructArray.from_arrays([pa.array(np.array(end, dtype=np.int32)), pa.array(np.array(depth, dtype=np.int32)), pa.array(par, mask=par < 0)], names=["e", "d", "par"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+    def add(self, *walked: list[int]) -> None:
+        for c, w in zip(self.columns, walked):
+            c += w
+        self.offsets.append(len(self.columns[0]))
+
+    def column(self) -> pa.Array:
+        end, depth, parent, box = (np.array(c, dtype=np.int32) for c in self.columns)
+        rows = [pa.array(end), pa.array(depth), pa.array(parent, mask=parent < 0), pa.array(box, mask=box < 0)]
+        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(rows, names=["e", "d", "par", "box"]))
 
 
 def nest_whole(events: Column) -> Column:
-    """N3/N4 of a page whose events are one string: one (end, depth, parent) a token."""
+    """N3/N4 of a page whose events are one string: one (end, depth, parent, box) a token."""
 
     @F.arrow_udf(NEST)
     def run(col: pa.Array) -> pa.Array:
-        offsets, ends, depths, parents = [0], [], [], []
+        out = _Rows()
         for s in col.to_pylist():
             ev = s.split(" ") if s else []
-            end, depth, parent = walk(ev)
-            ends += [len(ev) if e < 0 else e for e in end]
-            depths += depth
-            parents += parent
-            offsets.append(len(ends))
-        return _lists(offsets, ends, depths, parents)
+            end, *rest = walk(ev)
+            out.add([len(ev) if e < 0 else e for e in end], *rest)
+        return out.column()
 
     return run(events)
 
 
-_LEFT = "page_id {0}, piece int, n_tok int, pos array<int>, ev string, done array<struct<p:int,e:int,c:int,t:string>>"
-
-
-def _reduced(pieces: DataFrame, merge: bool) -> DataFrame:
-    """One row per (page, piece): its unsettled events, and the elements settled so far. ``merge``: rows of one piece number follow each
-    other in order and become one row; else each row is a piece by itself whose settled elements nobody else needs."""
-    kind = pieces.schema["page_id"].dataType.simpleString()
+_DONE = "array<struct<p:int,e:int,c:int,t:string>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(rows: list[tuple]) -> tuple:
-            page, piece, n_tok = rows[0][:3]
-            left, done = reduce_events(((p, e) for r in rows for p, e in zip(r[3], r[4].split(" "))), piece == 0)
-            kept = [x for r in rows for x in (r[5] or [])] + [{"p": p, "e": e, "c": c, "t": t} for p, e, c, t in done] if merge else []
-            return page, piece, n_tok, [p for p, _ in left], " ".join(e for _, e in left), kept
 
-        def batch(out: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
-            done = pa.list_(pa.struct([("p", pa.int32()), ("e", pa.int32()), ("c", pa.int32()), ("t", pa.string())]))
-            types = [kinds.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), done]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["page_id", "piece", "n_tok", "pos", "ev", "done"])
+def _reduce(piece: Column, pos: Column, ev: Column) -> Column:
+    """``reduce_events`` of a row's events: struct (pos, ev, done)."""
 
-        held: list[tuple] = []
-        schema = None
-        for b in batches:
-            schema = b.schema
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                if held and (not merge or row[:2] != held[0][:2]):
-                    yield batch([settle(held)], schema)
-                    held = []
-                held.append(row)
-        if held:
-            yield batch([settle(held)], schema)
+    @F.arrow_udf(f"pos array<int>, ev string, done {_DONE}")
+    def run(piece: pa.Array, pos: pa.Array, ev: pa.Array) -> pa.Array:
+        out = []
+        for k, p, e in zip(piece.to_pylist(), pos.to_pylist(), ev.to_pylist()):
+            left, done = reduce_events(zip(p, e.split(" ")) if p else iter(()), k == 0)
+            out.append({"pos": [q for q, _ in left], "ev": " ".join(x for _, x in left), "done": [dict(zip("pect", d)) for d in done]})
+        done = pa.list_(pa.struct([("p", pa.int32()), ("e", pa.int32()), ("c", pa.int32()), ("t", pa.string())]))
+        return pa.array(out, pa.struct([("pos", pa.list_(pa.int32())), ("ev", pa.string()), ("done", done)]))
 
-    return pieces.mapInArrow(run, _LEFT.format(kind))
+    return run(piece, pos, ev)
 
 
 def nest_long(tokens: DataFrame, piece: int = PIECE, fan: int = FAN, rounds: int = ROUNDS) -> DataFrame:
@@ -177,13 +172,17 @@ def nest_long(tokens: DataFrame, piece: int = PIECE, fan: int = FAN, rounds: int
     cut = cut.select("page_id", "piece", "n_tok", first.alias("first"), *part).repartition("page_id", "piece")
     cut = cut.withColumn("ev", events_of())
     no_leaf = F.expr(f"filter(transform(split(ev, ' '), (e, i) -> named_struct('p', cast(first + i as int), 'e', e)), x -> x.e != '{LEAF}' and x.e != '')")
-    none = F.lit(None).cast("array<struct<p:int,e:int,c:int,t:string>>")
-    up = cut.withColumn("x", no_leaf).select("page_id", "piece", "n_tok", F.col("x.p").alias("pos"), F.array_join(F.col("x.e"), " ").alias("ev"), none.alias("done"))
-    up = _reduced(up.where(F.size("pos") > 0), merge=False)
+    up = cut.withColumn("x", no_leaf).select("page_id", "piece", "n_tok", F.col("x.p").alias("pos"), F.array_join(F.col("x.e"), " ").alias("ev"))
+    # what a piece settles by itself nobody else needs
+    up = up.withColumn("r", _reduce(F.col("piece"), F.col("pos"), F.col("ev"))).select(
+        "page_id", "piece", "n_tok", "r.pos", "r.ev", F.lit(None).cast(_DONE).alias("done")).where(F.size("pos") > 0)
     for _ in range(rounds):
-        up = up.withColumn("order", F.col("piece")).withColumn("piece", (F.col("piece") / fan).cast("int"))
-        up = up.where(F.size("pos") + F.size("done") > 0).repartition("page_id", "piece").sortWithinPartitions("page_id", "piece", "order").drop("order")
-        up = _reduced(up.select("page_id", "piece", "n_tok", "pos", "ev", "done"), merge=True)
+        parts = F.array_sort(F.collect_list(F.struct("piece", "pos", "ev")))
+        up = up.groupBy("page_id", (F.col("piece") / fan).cast("int").alias("group")).agg(
+            F.first("n_tok").alias("n_tok"), parts.alias("parts"), F.flatten(F.collect_list("done")).alias("before"))
+        full = F.filter("parts", lambda x: F.size(x["pos"]) > 0)
+        up = up.withColumn("r", _reduce(F.col("group"), F.flatten(F.transform(full, lambda x: x["pos"])), F.array_join(F.transform(full, lambda x: x["ev"]), " ")))
+        up = up.select("page_id", F.col("group").alias("piece"), "n_tok", "r.pos", "r.ev", F.concat("before", "r.done").alias("done"))
     # elements that cross pieces: settled in a merge, or open to the page's end
     still = F.expr("transform(arrays_zip(pos, split(ev, ' ')), x -> named_struct('p', x.pos, 'e', n_tok, 'c', n_tok, 't', substr(x.`1`, 2)))")
     crossing = up.select("page_id", "n_tok", F.explode(F.concat("done", F.when(F.size("pos") > 0, still).otherwise(F.expr("slice(done, 1, 0)")))).alias("x")).select("page_id", "n_tok", "x.*")
@@ -196,16 +195,12 @@ def nest_long(tokens: DataFrame, piece: int = PIECE, fan: int = FAN, rounds: int
 
     @F.arrow_udf(NEST)
     def place(first: pa.Array, ev: pa.Array, opens: pa.Array, owns: pa.Array) -> pa.Array:
-        offsets, ends, depths, parents = [0], [], [], []
+        out = _Rows()
         for base, s, stack, late in zip(first.to_pylist(), ev.to_pylist(), opens.to_pylist(), owns.to_pylist()):
-            events = s.split(" ") if s else []
-            end, depth, parent = walk(events, base, [(x["t"], x["p"]) for x in stack or []])
+            end, *rest = walk(s.split(" ") if s else [], base, [(x["t"], x["p"]) for x in stack or []])
             for x in late or []:
                 end[x["p"] - base] = x["e"]
-            ends += end
-            depths += depth
-            parents += parent
-            offsets.append(len(ends))
-        return _lists(offsets, ends, depths, parents)
+            out.add(end, *rest)
+        return out.column()
 
     return j.select("page_id", "toks", "kinds", "tags", "first", place("first", "ev", "opens", "owns").alias("nest"))

@@ -1,12 +1,13 @@
 """A page becomes rows of a node table.
 
-``nodes(page_id, pos, ord, sub, elem, end, depth, parent, kind, tag, amap, cls, role, text, any_text, piece)``
+``nodes(page_id, pos, ord, sub, elem, end, depth, parent, box, kind, tag, amap, cls, role, text, any_text, piece)``
 
 * one row per token (N1), ``pos`` is the token index inside the page;
 * nested-set interval ``[pos, end)`` per element, exclusive ``end`` (N3): a close tag
   pops through the nearest open element with that tag (matched: ``end = close + 1``; popped with it: ``end = close``),
   a close tag with no such open element is ignored, elements left open end at the page's token count;
 * ``depth`` = number of enclosing elements, ``parent`` = position of the innermost one (N4);
+* ``box`` = position of the innermost div, li, article or section around it (J2), from the same pass;
 * ``amap`` attribute map (N2), entity-decoded text (N7).
 
 Physical plan: pages are hash-partitioned by ``page_id`` once, *before* the explode, so every later window, aggregate
@@ -107,22 +108,39 @@ def _tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
         f"transform(toks, (tok, i) -> case when kinds[i] in ('open', 'close', 'void', 'raw') then {TAG_SQL} end)").alias("tags"))
 
 
-def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html", partitioned: bool = False, split: int = SPLIT) -> DataFrame:
-    """Node table, hash-partitioned by page_id (see module doc) unless ``partitioned`` leaves rows where they are. Pages over
-    ``split`` bytes are nested in pieces."""
-    size = F.octet_length(F.col(html))
-    short = _tokens(pages.where(F.coalesce(size, F.lit(0)) <= split), key, html)
+def _spread(pages: DataFrame) -> DataFrame:
+    """Pages read from fewer files than there are cores are dealt evenly first: a file of few row groups would keep the work
+    of all its pages in few tasks, and the work per byte is high."""
+    n = page_partitions(pages.sparkSession)
+    return pages.repartition(n, "page_id") if len(pages._jdf.inputFiles()) < n else pages
+
+
+def _nested(pages: DataFrame, key: str, html: str, split: int) -> DataFrame:
+    """(page_id, toks, kinds, tags, first, nest): a page in one row, or in several if it has more than ``split`` bytes."""
+    raw = _spread(pages.select(F.col(key).alias("page_id"), F.col(html).alias("html")))
+    size = F.octet_length("html")
+    short = _tokens(raw.where(F.coalesce(size, F.lit(0)) <= split), "page_id", "html")
     whole = short.select("page_id", "toks", "kinds", "tags", F.lit(0).alias("first"), nest_whole(events_of()).alias("nest"))
-    # a long page's pieces arrive from different tasks; both kinds of rows hold token arrays and their nesting
-    nested = whole.unionByName(nest_long(_tokens(pages.where(size > split), key, html)))
-    if not partitioned:
-        # Tokens and nesting are computed before the one Exchange that moves the page rows by page_id. An explicit count: the explode
-        # multiplies the per-page work several times over, so AQE must not merge these small-looking partitions by input size.
-        nested = nested.repartition(page_partitions(pages.sparkSession), "page_id")
-    zipped = F.transform("nest", lambda o, i: F.struct(
-        (F.col("first") + i).alias("pos"), o["e"].alias("end"), o["d"].alias("depth"), o["par"].alias("parent"),
-        F.get("toks", i).alias("tok"), F.get("kinds", i).alias("kind"), F.get("tags", i).alias("tag")))
-    rows = nested.select("page_id", F.inline(zipped))
+    return whole.unionByName(nest_long(_tokens(raw.where(size > split), "page_id", "html")))
+
+
+def _rows(nested: DataFrame) -> DataFrame:
+    return nested.select("page_id", F.inline(F.transform("nest", lambda o, i: F.struct(
+        (F.col("first") + i).alias("pos"), o["e"].alias("end"), o["d"].alias("depth"), o["par"].alias("parent"), o["box"].alias("box"),
+        F.get("toks", i).alias("tok"), F.get("kinds", i).alias("kind"), F.get("tags", i).alias("tag")))))
+
+
+def token_rows(pages: DataFrame, key: str = "page_id", html: str = "html", split: int = SPLIT) -> DataFrame:
+    """(page_id, pos, end, depth, parent, box, tok, kind, tag), one row a token, where its page was read. Pages over
+    ``split`` bytes are nested in pieces."""
+    return _rows(_nested(pages, key, html, split))
+
+
+def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html", split: int = SPLIT) -> DataFrame:
+    """Node table, hash-partitioned by page_id (see module doc)."""
+    # Tokens and nesting are computed before the Exchange that moves the page rows by page_id. An explicit count: the explode
+    # multiplies the per-page work several times over, so AQE must not merge these small-looking partitions by input size.
+    rows = _rows(_nested(pages, key, html, split).repartition(page_partitions(pages.sparkSession), "page_id"))
     rows = rows.withColumn("amap", F.when(F.col("kind").isin("open", "void", "raw"), attr_map(_attrs(F.col("tok")))))
     raw_body = F.regexp_extract("tok", r"(?is)^<[a-z][^>]*+>(.*)</[a-z]+\s*>$", 1)
     text = (
@@ -147,7 +165,7 @@ def build_nodes(pages: DataFrame, opts, key: str = "page_id", html: str = "html"
     return with_end_markers(rows)
 
 
-NODE_COLS = ["page_id", "pos", "ord", "sub", "elem", "end", "depth", "parent", "kind", "tag", "amap", "text", "any_text",
+NODE_COLS = ["page_id", "pos", "ord", "sub", "elem", "end", "depth", "parent", "box", "kind", "tag", "amap", "text", "any_text",
              "cls", "role", "piece"]
 
 
@@ -157,19 +175,19 @@ def with_end_markers(rows: DataFrame) -> DataFrame:
     next token. Windows can then read "the value at the element's end" without a self-join. Generated from the same
     row (explode), so the lineage is not duplicated."""
     is_el = F.col("kind").isin("open", "void", "raw")
-    fields = ["pos", "end", "depth", "parent", "kind", "tag", "amap", "text", "any_text", "cls", "role", "piece"]
+    fields = ["pos", "end", "depth", "parent", "box", "kind", "tag", "amap", "text", "any_text", "cls", "role", "piece"]
     real = F.struct(
         F.col("pos"), F.lit(0).alias("ord"), F.lit(0).alias("sub"), F.when(is_el, F.col("pos")).alias("elem"),
         *[F.col(c) for c in fields if c != "pos"])
     mark = F.struct(
         (F.col("end") - 1).alias("pos"), F.lit(1).alias("ord"), (-F.col("pos")).alias("sub"), F.col("pos").alias("elem"),
-        F.col("end"), F.col("depth"), F.col("parent"), F.lit("end").alias("kind"), F.col("tag"), F.col("amap"),
+        F.col("end"), F.col("depth"), F.col("parent"), F.col("box"), F.lit("end").alias("kind"), F.col("tag"), F.col("amap"),
         F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("any_text"), F.col("cls"), F.col("role"),
         F.lit(None).cast("string").alias("piece"))
     both = F.when(is_el, F.array(real, mark)).otherwise(F.array(real))
     return rows.select("page_id", F.inline(both))
 
 
-def html_nodes(nodes: DataFrame) -> DataFrame:
-    """N3/N4 as a result table: one row per element (open, void or raw)."""
-    return nodes.where((F.col("ord") == 0) & F.col("kind").isin("open", "void", "raw")).select("page_id", "pos", "end", "depth", "parent", "tag")
+def html_nodes(tokens: DataFrame) -> DataFrame:
+    """N3/N4 as a result table from ``token_rows``: one row per element (open, void or raw)."""
+    return tokens.where(F.col("kind").isin("open", "void", "raw")).select("page_id", "pos", "end", "depth", "parent", "tag")

@@ -11,7 +11,7 @@ element owns the contiguous range ``(k_before(pos), k(end - 1)]``; the range is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdown.functions import constants as K
@@ -38,8 +38,8 @@ def element_texts(indexed: DataFrame, elems: DataFrame) -> DataFrame:
     at_pos = indexed.where(F.col("ord") == 0).select("page_id", "pos", (F.col("k") - F.col("_hp")).alias("k_before"))
     at_end = indexed.where(F.col("ord") == 1).select("page_id", F.col("elem").alias("pos"), F.col("k").alias("k_end"))
     e = elems.join(at_pos, ["page_id", "pos"]).join(at_end, ["page_id", "pos"])
-    ek = e.select("page_id", "pos", "src", "r1", "r2", F.explode_outer(F.sequence(F.col("k_before") + 1, F.col("k_end"))).alias("k"))
-    ek = ek.withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    pieces_of = F.when(F.col("k_end") > F.col("k_before"), F.sequence(F.col("k_before") + 1, F.col("k_end")))  # an empty element has none
+    ek = e.select("page_id", "pos", "src", "r1", "r2", F.explode_outer(pieces_of).alias("k"))
     pieces = indexed.where(F.col("_hp") == 1).select("page_id", "k", "piece")
     j = ek.join(pieces, ["page_id", "k"], "left")
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("k", "piece")))), lambda x: x["piece"])
@@ -47,11 +47,36 @@ def element_texts(indexed: DataFrame, elems: DataFrame) -> DataFrame:
         F.array_join(ordered, " ").alias("text_sp"), F.array_join(ordered, "").alias("text_nosp"))
 
 
+def first_inside(rows: DataFrame, containers: list[tuple[str, Column, int]], item: str, items: int) -> DataFrame:
+    """Structural join of containers and the items inside them in one ordered pass: (page_id, k, src, crank, pos, end) of the first
+    ``items`` item rows inside each of the page's first n containers, for every (src, condition, n) of ``containers``.
+
+    Each page's containers and items are read once in document order. As intervals nest, an item lies inside a container met
+    before it exactly if that one's end is still ahead; the ends of the first n containers of a kind are running values beside
+    the row. No container row meets an item row in a join, so a page's cost is its items times the (fixed) number of containers."""
+    run = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    is_box = [F.col(f"_c{k}") for k in range(len(containers))]
+    r = rows.select("page_id", "pos", "end", F.col(item).alias("_item"), *[c.alias(f"_c{k}") for k, (_, c, _) in enumerate(containers)])
+    any_box = is_box[0]
+    for c in is_box[1:]:
+        any_box = any_box | c
+    r = r.where(F.col("_item") | any_box)
+    ranks = [F.sum(c.cast("int")).over(run).alias(f"_n{k}") for k, c in enumerate(is_box)]
+    r = r.select("*", *ranks)
+    places = [(k, src, i) for k, (src, _, n) in enumerate(containers) for i in range(1, n + 1)]
+    r = r.select("*", *[F.max(F.when(is_box[k] & (F.col(f"_n{k}") == i), F.col("end"))).over(before).alias(f"_e{k}_{i}") for k, _, i in places])
+    inside = {(k, i): F.col("_item") & F.coalesce(F.col(f"_e{k}_{i}") > F.col("pos"), F.lit(False)) for k, _, i in places}
+    r = r.select("*", *[F.sum(inside[k, i].cast("int")).over(run).alias(f"_i{k}_{i}") for k, _, i in places])
+    hits = [F.when(inside[k, i] & (F.col(f"_i{k}_{i}") <= items), F.struct(F.lit(k).alias("k"), F.lit(src).alias("src"), F.lit(i).alias("crank"))) for k, src, i in places]
+    return r.select("page_id", "pos", "end", F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+
+
 def title_candidates(nodes: DataFrame) -> DataFrame:
     """All elements any strategy may read, tagged (src, r1, r2) with their within-strategy order.
 
     The single-element strategies (T2 attributes, T5 user attributes, T6 title, T7 first three h1) come from one
-    aggregate per page; T3/T4 join each page's first few containers to its active-class items."""
+    aggregate per page; T3/T4 are a structural join of each page's first containers and the active-class items in them."""
     el = nodes.where(ELEM())
     pe = F.struct("pos", "end")
     aggs = []
@@ -74,20 +99,11 @@ def title_candidates(nodes: DataFrame) -> DataFrame:
     singles = firsts.select("page_id", F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
 
     # Active-class items in the first containers (r1 = container order, r2 = item position)
-    active = el.where(F.coalesce(F.col("cls").rlike("(?i)" + K.ACTIVE_CLASS_RE), F.lit(False))).select(
-        "page_id", F.col("pos").alias("ipos"), F.col("end").alias("iend"))
-    rn = Window.partitionBy("page_id").orderBy("pos")
     role = F.coalesce(F.col("role"), F.lit(""))
-    box = el.where(F.col("tag").isin("aside", "nav") | role.isin("complementary", "navigation")).select(
-        "page_id", "pos", "end", F.col("tag").isin("aside", "nav").alias("side"), role.alias("r"))
-    side = box.where("side").withColumn("crank", F.row_number().over(rn)).where(F.col("crank") <= 5).withColumn("src", F.lit("class"))
-    rw = Window.partitionBy("page_id", "r").orderBy("pos")
-    roles = box.where(F.col("r").isin("complementary", "navigation")).withColumn("crank", F.row_number().over(rw)).where(
-        F.col("crank") <= 3).withColumn("crank", F.col("crank") + F.when(F.col("r") == "navigation", 10).otherwise(0)).withColumn("src", F.lit("role"))
-    cont = side.unionByName(roles).select("page_id", F.col("pos").alias("cpos"), F.col("end").alias("cend"), "crank", "src")
-    j = cont.join(active, "page_id").where((F.col("ipos") > F.col("cpos")) & (F.col("ipos") < F.col("cend")))
-    j = j.withColumn("irank", F.row_number().over(Window.partitionBy("page_id", "src", "crank").orderBy("ipos"))).where(F.col("irank") <= 5)
-    boxed = j.select("page_id", F.col("ipos").alias("pos"), F.col("iend").alias("end"), "src", F.col("crank").alias("r1"), F.col("ipos").alias("r2"))
+    active = F.coalesce(F.col("cls").rlike("(?i)" + K.ACTIVE_CLASS_RE), F.lit(False))
+    found = first_inside(el.withColumn("_active", active), [("class", F.col("tag").isin("aside", "nav"), 5), ("role", role == "complementary", 3),
+                                                            ("role", role == "navigation", 3)], "_active", 5)
+    boxed = found.select("page_id", "pos", "end", "src", (F.col("crank") + F.when(F.col("k") == 2, 10).otherwise(0)).alias("r1"), F.col("pos").alias("r2"))
     return singles.unionByName(boxed)
 
 

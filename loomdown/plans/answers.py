@@ -5,7 +5,8 @@ Physical notes
 * A request is (page, phrase): phrases are asked on a page, as in the interactive tool. J1 is an equi-join on
   ``page_id`` plus a substring test, so there is no cross join and no all-pages x all-phrases product. A page with
   many requests is salted into buckets of 64 requests (``salted_join``) so its strings x phrases work is spread.
-* J2/J3 are windows over the node table (container level + nearest following qualifying div), no range joins.
+* J2 is read off the nesting walk, whose stack holds every token's ancestors; J3 is a reverse running window (nearest following
+  qualifying div). No range joins.
 * An answer block's rows are fetched by exploding its position range and equi-joining on (page_id, pos).
 """
 
@@ -63,21 +64,13 @@ def phrase_hits(nodes: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def container_and_answer(nodes: DataFrame) -> DataFrame:
-    """Per row: ``cont`` = innermost enclosing div/li/article/section (J2) and, on container rows, ``next_div`` =
-    first later div with more than 20 stripped characters (J3), on the original tree."""
-    is_c = (F.col("ord") == 0) & F.col("kind").isin("open", "void", "raw") & F.col("tag").isin(K.CONTAINER_TAGS)
-    is_c_end = (F.col("ord") == 1) & F.col("tag").isin(K.CONTAINER_TAGS)
-    run_before = Window.partitionBy("page_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    n = with_live(nodes).withColumn("_d", F.when(is_c, 1).when(is_c_end, -1).otherwise(0))
-    n = n.withColumn("_depth", F.coalesce(F.sum("_d").over(run_before), F.lit(0)))
-    n = n.withColumn("_lvl", F.when(is_c, F.col("_depth")).otherwise(F.col("_depth") - 1))
-    lw = Window.partitionBy("page_id", "_lvl").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("cont", F.when(F.col("_lvl") >= 0, F.last(F.when(is_c, F.col("pos")), ignorenulls=True).over(lw)))
-    n = element_measure(n, text_len(), "_tlen")
+    """Per token row: ``cont`` = innermost enclosing div/li/article/section (J2, the walk's ``box``) and ``next_div`` = first later
+    div with more than 20 stripped characters (J3), on the original tree."""
+    n = element_measure(with_live(nodes), text_len(), "_tlen")
     qual = (F.col("ord") == 0) & (F.col("kind") == "open") & (F.col("tag") == "div") & (F.col("_tlen") > K.ANSWER_MIN_TEXT)
     rev = Window.partitionBy("page_id").orderBy(*[F.col(c).desc() for c in ORDER]).rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("next_div", F.last(F.when(qual, F.struct(F.col("pos").alias("apos"), F.col("end").alias("aend"))), ignorenulls=True).over(rev))
-    return n.drop("_d", "_depth", "_lvl", "_tlen", "live")
+    return n.withColumn("cont", F.col("box")).drop("_tlen", "live")
 
 
 def page_answers(nodes: DataFrame, requests: DataFrame, opts, titles: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomdown.operators import chrome as C
 from loomdown.operators import nesting as G
 from loomdown.operators import nodes as N
 
@@ -61,7 +62,7 @@ def _walk(events):
 
 
 def _events(rng, size):
-    return [(k := rng.choice((0, 1, 1, 2, 2)), rng.choice("abcd") if k else None) for _ in range(size)]
+    return [(k := rng.choice((0, 1, 1, 2, 2)), rng.choice(("a", "b", "c", "div")) if k else None) for _ in range(size)]
 
 
 def _strings(events):
@@ -72,9 +73,12 @@ def test_walk_equals_stack_walk():
     rng = random.Random(5)
     for size in (0, 1, 2, 3, 50, 700, 20_000):
         ev = _events(rng, size)
-        end, depth, parent = G.walk(_strings(ev))
+        end, depth, parent, box = G.walk(_strings(ev))
         got = [(i, size if e < 0 else e, d, None if p < 0 else p) for i, (e, d, p) in enumerate(zip(end, depth, parent))]
         assert got == _walk(ev)
+        if size < 1000:
+            inner = [max((p for p, e in enumerate(end) if ev[p] == (1, "div") and p < i and (e < 0 or e > i)), default=-1) for i in range(size)]
+            assert [b for b, k in zip(box, ev) if k[0] == 0] == [b for b, k in zip(inner, ev) if k[0] == 0]
 
 
 @given(st.lists(st.tuples(st.sampled_from((0, 1, 1, 2, 2)), st.sampled_from("abc")), max_size=40), st.lists(st.integers(0, 40), max_size=6), st.integers(2, 3))
@@ -113,7 +117,7 @@ def test_long_pages_in_pieces(spark):
 def test_long_and_short_pages_have_equal_nodes(spark, opts):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").unionByName(
         spark.createDataFrame([(-k, "u", h) for k, h in EDGE], "page_id long, url string, html string"))
-    cols = ["page_id", "pos", "ord", "end", "depth", "parent", "kind", "tag", "text"]
+    cols = ["page_id", "pos", "ord", "end", "depth", "parent", "box", "kind", "tag", "text"]
     short, long = (N.build_nodes(df, opts, split=s).select(*cols) for s in (1 << 30, 40))
     assert short.exceptAll(long).isEmpty() and long.exceptAll(short).isEmpty()
 
@@ -121,10 +125,52 @@ def test_long_and_short_pages_have_equal_nodes(spark, opts):
 def test_page_plan_has_one_page_exchange(spark, opts):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = N.build_nodes(df, opts)._jdf.queryExecution().executedPlan().toString()
-    assert len(re.findall(r"Exchange hashpartitioning\(page_id#\d+L?, \d+\)", plan)) == 1 and "BatchEvalPython" not in plan
+    # above the short and the long pages' rows one Exchange deals the pages to the node table's partitions
+    steps = [re.sub(r"^[ :+-]*(\*\(\d+\) )?", "", line) for line in plan.split("\n")]
+    top = steps[: steps.index("Union")]
+    assert [x[:28] for x in top if x.startswith("Exchange")] == ["Exchange hashpartitioning(pa"] and "BatchEvalPython" not in plan
 
 
 def test_driver_pages_lossless(spark):
     p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     t = N.tokenize(p).join(p, "page_id").where(F.array_join("toks", "") != F.col("html"))
     assert t.count() == 0
+
+
+def _stage_by_stage(cands, stages, limit):
+    """The guarded stages literally: each reads what the earlier ones left."""
+    text = {}  # position -> live characters, one piece per candidate start
+    for pos, end, _, total in cands:
+        text[pos] = total - sum(t for p, e, _, t in cands if pos < p < end and not any(pos < q < p < f for q, f, _, _ in cands))
+    gone = []
+    for stage in range(stages):
+        live = {p: t for p, t in text.items() if not any(a <= p < b for a, b in gone)}
+        for pos, end, bits, _ in sorted(cands):
+            if bits >> stage & 1 and not any(a <= pos < b for a, b in gone) and sum(t for p, t in live.items() if pos <= p < end) <= limit:
+                gone.append((pos, end))
+    return sorted(gone)
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 15), st.integers(0, 9)), min_size=1, max_size=25), st.integers(1, 4))
+@settings(max_examples=300, deadline=None)
+def test_guard_sweep_is_stage_by_stage(shape, stages):
+    # a random forest: ``up`` elements close before the next one opens
+    open_, ends, at = [], {}, []
+    for i, (up, bits, own) in enumerate(shape):
+        for _ in range(min(up, len(open_))):
+            ends[open_.pop()] = 2 * i
+        open_.append(i)
+        at.append((2 * i, bits, own))
+    ends |= {i: 2 * len(shape) for i in open_}
+    own = [x[2] for x in at]
+    cands = [(p, ends[i], bits, sum(own[j] for j in range(i, len(at)) if 2 * j < ends[i])) for i, (p, bits, _) in enumerate(at)]
+    assert sorted(C.guard_sweep(cands, stages, 7)) == _stage_by_stage(cands, stages, 7)
+
+
+def test_many_guard_candidates(spark, opts):
+    """10,000 candidates on one page, some over the limit: the sweep's cost follows their number."""
+    parts = [f'<div class="sidebar" role="navigation">{"x" * (6000 if k % 500 == 0 else 5)}</div>' for k in range(10_000)]
+    html = f"<body><main>{''.join(parts)}<p>end</p></main></body>"
+    n = C.clean_page(N.build_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"), opts), opts)
+    live = n.where("in_region and kind = 'text'").groupBy(F.length("text").alias("n")).count().collect()
+    assert {r.n: r["count"] for r in live} == {6000: 20, 3: 1}
