@@ -2,9 +2,8 @@
 (F13) -> Markdown (R1, R5) -> tags and words (L7, R7) -> title from the phrase (T10, J6); and J4 on parsed turns.
 
 Physical notes
-* A request is (page, phrase): phrases are asked on a page, as in the interactive tool. J1 is an equi-join on
-  ``page_id`` plus a substring test, so there is no cross join and no all-pages x all-phrases product. A page with
-  many requests is salted into buckets of 64 requests (``salted_join``) so its strings x phrases work is spread.
+* A request is (page, phrase): phrases are asked on a page, as in the interactive tool. J1 goes through an n-gram index of
+  the page's strings (``operators.phrases``): no cross join, and no string is tested that lacks the phrase's rarest gram.
 * J2 is read off the nesting walk, whose stack holds every token's ancestors; J3 is a reverse running window (nearest following
   qualifying div). No range joins.
 * An answer block's rows are fetched by exploding its position range and equi-joining on (page_id, pos).
@@ -19,6 +18,7 @@ from loomdown.functions import constants as K
 from loomdown.functions import text as T
 from loomdown.operators.chrome import drop_subtrees, element_measure, text_len, with_live
 from loomdown.operators.markdown import render
+from loomdown.operators.phrases import answerable, first_hits
 from loomdown.plans.materialize import materialize
 
 ORDER = ["pos", "ord", "sub"]
@@ -39,28 +39,11 @@ def message_of(status) -> F.Column:
     return m[status]
 
 
-REQUESTS_PER_TASK = 64
-
-
-def salted_join(texts: DataFrame, req: DataFrame) -> DataFrame:
-    """Equi-join of a page's strings with the page's phrase requests, salted for hot pages: a page with n requests
-    is split into ceil(n / 64) buckets (requests by hash, the page's strings replicated per bucket), so one page with
-    a huge number of phrases spreads over many tasks. Pages with few requests keep one bucket."""
-    buckets = req.groupBy("page_id").agg(F.count("*").alias("_n")).select(
-        "page_id", F.greatest(F.lit(1), F.ceil(F.col("_n") / REQUESTS_PER_TASK)).cast("int").alias("_b"))
-    r = req.join(buckets, "page_id").withColumn("_s", F.pmod(F.xxhash64("phrase_id"), F.col("_b")).cast("int")).drop("_b")
-    t = texts.join(buckets, "page_id").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_b")
-    return t.join(r, ["page_id", "_s"]).drop("_s")
-
-
 def phrase_hits(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """(page_id, phrase_id, hit) = first node (document order, before clean-up) whose string contains the phrase,
     case-insensitively. Every string counts: text, title/script/style bodies, comments, declarations."""
-    texts = nodes.where((F.col("ord") == 0) & F.col("any_text").isNotNull()).select(
-        "page_id", "pos", F.lower("any_text").alias("low"))
-    req = requests.select("page_id", "phrase_id", F.lower("phrase").alias("lp"))
-    j = salted_join(texts, req).where(F.col("low").contains(F.col("lp")))
-    return j.groupBy("page_id", "phrase_id").agg(F.min("pos").alias("hit"))
+    texts = nodes.where((F.col("ord") == 0) & F.col("any_text").isNotNull()).select("page_id", "pos", F.col("any_text").alias("text"))
+    return first_hits(texts, requests)
 
 
 def container_and_answer(nodes: DataFrame) -> DataFrame:
@@ -74,7 +57,8 @@ def container_and_answer(nodes: DataFrame) -> DataFrame:
 
 
 def page_answers(nodes: DataFrame, requests: DataFrame, opts, titles: DataFrame | None = None) -> DataFrame:
-    """One row per request (phrase_id, page_id, phrase): status, message, title, file_name, markdown, word_count, tags."""
+    """One row per request (phrase_id, page_id, phrase) that is not blank: status, message, title, file_name, markdown, word_count, tags."""
+    requests = materialize(answerable(requests).select("page_id", "phrase_id", "phrase"), opts.materialize)
     nodes = materialize(nodes, opts.materialize)
     hits = phrase_hits(nodes, requests)
     ca = materialize(container_and_answer(nodes).where(F.col("ord") == 0).select("page_id", "pos", "cont", "next_div"), opts.materialize)
@@ -97,8 +81,8 @@ def page_answers(nodes: DataFrame, requests: DataFrame, opts, titles: DataFrame
     return finish_answers(out.withColumn("status", status), opts, titles)
 
 
-def finish_answers(df: DataFrame, opts, titles: DataFrame | None = None) -> DataFrame:
-    """Title (J6 supplied title, else T10 of the phrase), file name, tags, words and message for answer rows."""
+def finish_answers(df: DataFrame, opts, titles: DataFrame | None = None, also: list[str] | None = None) -> DataFrame:
+    """Title (J6 supplied title, else T10 of the phrase), file name, tags, words and message for answer rows; columns ``also`` stay."""
     if titles is not None:
         df = df.join(titles.select("phrase", F.col("title").alias("supplied")), "phrase", "left")
     else:
@@ -110,23 +94,23 @@ def finish_answers(df: DataFrame, opts, titles: DataFrame | None = None) -> Data
         "page_id", "phrase_id", "status", message_of(F.col("status")).alias("message"),
         F.when(ok, title).alias("title"), F.when(ok, T.file_name(title, opts.max_filename_length)).alias("file_name"),
         md.alias("markdown"), F.when(ok, T.word_count(F.col("markdown"))).alias("word_count"),
-        F.when(ok, T.auto_tags(F.col("markdown"))).alias("tags"),
+        F.when(ok, T.auto_tags(F.col("markdown"))).alias("tags"), *(also or []),
     )
 
 
 def turn_answers(conversations: DataFrame, requests: DataFrame, opts, titles: DataFrame | None = None) -> DataFrame:
     """J4 on parsed turns: first user turn containing the phrase (case-insensitive) -> next assistant turn with more
     than 20 stripped characters; no hit / no such turn -> failed row. The next qualifying turn is a reverse running
-    window (linear in the conversation), the phrase test an equi-join on the conversation plus a substring filter."""
+    window (linear in the conversation), the phrase look-up the n-gram index of J1. Blank phrases ask nothing."""
     rev = Window.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, -1)
     qual = (F.col("role") == "assistant") & (F.length(T.strip_ws(F.col("text"))) > K.ANSWER_MIN_TEXT)
     turns = conversations.withColumn("next_ans", F.last(F.when(qual, F.struct("turn", "text")), ignorenulls=True).over(rev))
-    users = turns.where(F.col("role") == "user").select(F.col("conv_id").alias("page_id"), "turn", F.lower("text").alias("low"), "next_ans")
-    req = requests.select("page_id", "phrase_id", "phrase", F.lower("phrase").alias("lp"))
-    j = salted_join(users, req.select("page_id", "phrase_id", "lp")).where(F.col("low").contains(F.col("lp")))
-    hits = j.groupBy("page_id", "phrase_id").agg(F.min_by("next_ans", "turn").alias("a"), F.min("turn").alias("hit"))
+    users = turns.where(F.col("role") == "user").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("pos"), "text", "next_ans")
+    req = materialize(answerable(requests).select("page_id", "phrase_id", "phrase"), opts.materialize)
+    answers = users.groupBy("page_id", F.col("pos").alias("hit")).agg(F.min("next_ans").alias("a"))
+    hits = first_hits(users, req).join(answers, ["page_id", "hit"])
     out = req.join(hits, ["page_id", "phrase_id"], "left")
     status = F.when(F.col("hit").isNull(), "phrase_not_found").when(F.col("a").isNull(), "no_answer").otherwise("ok")
     out = out.select("page_id", "phrase_id", "phrase", status.alias("status"), F.col("a.text").alias("markdown"),
                      F.col("a.turn").alias("answer_turn"))
-    return finish_answers(out, opts, titles).join(out.select("page_id", "phrase_id", "answer_turn"), ["page_id", "phrase_id"])
+    return finish_answers(out, opts, titles, ["answer_turn"])

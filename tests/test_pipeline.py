@@ -85,8 +85,61 @@ def test_oracle_match(spark, name):
     assert s == d
 
 
-def test_hot_page_phrase_salting(spark, opts):
-    """A page with 150 requests is split into 3 buckets; hits equal a brute-force scan."""
+def _first(strings, phrase):
+    return min((pos for pos, text in strings if phrase.lower() in text.lower()), default=None)
+
+
+def test_phrase_index_equals_scan(spark):
+    """Short and long phrases, phrases in other letter case, beyond the basic plane, spanning nothing, repeated requests."""
+    import random
+
+    from loomdown.operators.phrases import first_hits
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcÄß\U0001F600 ") for _ in range(rnd.randint(0, 12)))
+    pages = {p: [(k, word()) for k in range(rnd.randint(0, 30))] for p in range(12)}
+    asked = [(i, rnd.randint(0, 13), rnd.choice([word()[:rnd.randint(0, 5)], "ab", "B", "\U0001F600", "ä", "abc"])) for i in range(400)]
+    strings = spark.createDataFrame([(p, k, t) for p, s in pages.items() for k, t in s], "page_id int, pos int, text string")
+    got = {r.phrase_id: r.hit for r in first_hits(strings, spark.createDataFrame(asked, "phrase_id int, page_id int, phrase string")).collect()}
+    want = {i: _first(pages.get(p, []), t) for i, p, t in asked if t}
+    assert got == {i: h for i, h in want.items() if h is not None}
+    assert first_hits(strings, spark.createDataFrame([], "phrase_id int, page_id int, phrase string")).count() == 0
+
+
+def test_ten_thousand_requests_on_one_page(spark, monkeypatch):
+    """The index tests a phrase only against strings that hold its rarest gram, and one page's work lies in many tasks."""
+    from loomdown.operators import phrases as P
+
+    strings = [(1, k, f"item {k:05d} of the list") for k in range(10_000)]
+    asked = [(k, 1, f"ITEM {k:05d} of" if k % 2 else f"item {k}x") for k in range(10_000)]
+    s = spark.createDataFrame(strings, "page_id int, pos int, text string")
+    r = spark.createDataFrame(asked, "phrase_id int, page_id int, phrase string")
+    hits = P.first_hits(s, r)
+    got = {x.phrase_id: x.hit for x in hits.collect()}
+    assert got == {k: k for k in range(1, 10_000, 2)}
+    tested = P.candidates(s, r)
+    assert tested.count() < 10_000 * 150  # a scan tests 100,000,000 pairs
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [x["count"] for x in tested.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 4 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_blank_phrases_ask_nothing(spark, opts):
+    from loomdown.operators.nodes import build_nodes
+    from loomdown.plans.answers import page_answers, turn_answers
+
+    req = spark.createDataFrame([(1, 7, " \n"), (2, 7, ""), (3, 7, None), (4, 7, "hello")], "phrase_id long, page_id long, phrase string")
+    pages = spark.createDataFrame([(7, "<div><p>hello</p></div>")], "page_id long, html string")
+    assert [r.phrase_id for r in page_answers(build_nodes(pages, opts), req, opts).collect()] == [4]
+    conv = spark.createDataFrame([(7, 0, "user", "hello"), (7, 1, "assistant", "a" * 30)], "conv_id long, turn long, role string, text string")
+    assert [(r.phrase_id, r.status, r.answer_turn) for r in turn_answers(conv, req, opts).collect()] == [(4, "ok", 1)]
+
+
+def test_many_phrases_on_a_page(spark, opts):
+    """A page with 150 requests: hits equal a brute-force scan."""
     from loomdown.operators.nodes import build_nodes
     from loomdown.plans.answers import phrase_hits
 
