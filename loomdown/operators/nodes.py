@@ -117,11 +117,14 @@ def _spread(pages: DataFrame) -> DataFrame:
 
 def _nested(pages: DataFrame, key: str, html: str, split: int) -> DataFrame:
     """(page_id, toks, kinds, tags, first, nest): a page in one row, or in several if it has more than ``split`` bytes."""
-    raw = _spread(pages.select(F.col(key).alias("page_id"), F.col(html).alias("html")))
+    pages = pages.select(F.col(key).alias("page_id"), F.col(html).alias("html"))
     size = F.octet_length("html")
-    short = _tokens(raw.where(F.coalesce(size, F.lit(0)) <= split), "page_id", "html")
+    short = _tokens(_spread(pages.where(F.coalesce(size, F.lit(0)) <= split)), "page_id", "html")
     whole = short.select("page_id", "toks", "kinds", "tags", F.lit(0).alias("first"), nest_whole(events_of()).alias("nest"))
-    return whole.unionByName(nest_long(_tokens(raw.where(size > split), "page_id", "html")))
+    long = pages.where(size > split)
+    if long.isEmpty():  # one look at the lengths saves the rounds of the pieces' plan
+        return whole
+    return whole.unionByName(nest_long(_tokens(_spread(long), "page_id", "html")))
 
 
 def _rows(nested: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ def page_answers(nodes: DataFrame, requests: DataFrame, opts, titles: DataFrame
     ca = materialize(container_and_answer(nodes).where(F.col("ord") == 0).select("page_id", "pos", "cont", "next_div"), opts.materialize)
     h = hits.join(ca.select("page_id", F.col("pos").alias("hit"), "cont"), ["page_id", "hit"], "left")
     h = h.join(ca.select("page_id", F.col("pos").alias("cont"), "next_div"), ["page_id", "cont"], "left")
-    h = h.select("page_id", "phrase_id", "hit", "cont", F.col("next_div.apos").alias("apos"), F.col("next_div.aend").alias("aend"))
+    # one small row a request; read by several branches below, each of which would else search the strings again
+    h = materialize(h.select("page_id", "phrase_id", "hit", "cont", F.col("next_div.apos").alias("apos"), F.col("next_div.aend").alias("aend")), opts.materialize)
     # answer blocks: explode their position range, equi-join the node rows (no range join)
     blocks = h.where(F.col("apos").isNotNull()).select("page_id", "apos", "aend").distinct()
     rng = blocks.select("page_id", "apos", "aend", F.explode(F.sequence("apos", F.col("aend") - 1)).alias("pos"))
@@ -73,7 +74,8 @@ def page_answers(nodes: DataFrame, requests: DataFrame, opts, titles: DataFrame
     live = drop_subtrees(with_live(rows), (F.col("kind") != "end") & F.col("tag").isin(K.DROP_TAGS_ANSWER))
     live = live.withColumn("live", F.when(F.col("ord") == 1, F.max(F.when(F.col("ord") == 0, F.col("live"))).over(
         Window.partitionBy("page_id", "elem"))).otherwise(F.col("live")))
-    md = render(live.where("live"), opts).select(F.col("page_id.p").alias("page_id"), F.col("page_id.a").alias("apos"),
+    live = materialize(live.where("live"), opts.materialize)  # read by the renderer and by each look-up of code languages
+    md = render(live, opts).select(F.col("page_id.p").alias("page_id"), F.col("page_id.a").alias("apos"),
                                                  T.squeeze_blank(F.col("markdown")).alias("markdown"))
     out = requests.select("page_id", "phrase_id", "phrase").join(h, ["page_id", "phrase_id"], "left").join(md, ["page_id", "apos"], "left")
     status = (F.when(F.col("hit").isNull(), "phrase_not_found").when(F.col("cont").isNull(), "no_container")
@@ -108,7 +110,7 @@ def turn_answers(conversations: DataFrame, requests: DataFrame, opts, titles: Da
     users = turns.where(F.col("role") == "user").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("pos"), "text", "next_ans")
     req = materialize(answerable(requests).select("page_id", "phrase_id", "phrase"), opts.materialize)
     answers = users.groupBy("page_id", F.col("pos").alias("hit")).agg(F.min("next_ans").alias("a"))
-    hits = first_hits(users, req).join(answers, ["page_id", "hit"])
+    hits = materialize(first_hits(users, req).join(answers, ["page_id", "hit"]), opts.materialize)
     out = req.join(hits, ["page_id", "phrase_id"], "left")
     status = F.when(F.col("hit").isNull(), "phrase_not_found").when(F.col("a").isNull(), "no_answer").otherwise("ok")
     out = out.select("page_id", "phrase_id", "phrase", status.alias("status"), F.col("a.text").alias("markdown"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomdown.functions import text as T
 from loomdown.operators.chrome import clean_page
 from loomdown.operators.markdown import render
-from loomdown.operators.nodes import build_nodes
+from loomdown.operators.nodes import build_nodes, page_partitions
 from loomdown.operators.titles import page_titles
 from loomdown.plans.materialize import materialize
 
@@ -42,6 +42,8 @@ def page_notes(pages: DataFrame, opts, key: str = "page_id", html: str = "html",
     region = cleaned.where(F.col("in_region"))
     md = render(region, opts).withColumn("markdown", postprocess_full_page(F.col("markdown")))
     base = pages.select(F.col(key).alias("page_id"), (stem if stem is not None else F.lit(None).cast("string")).alias("stem"))
+    # tags and titles are read off whole notes: dealt over all cores, however few bytes the keys have
+    base = base.repartition(page_partitions(pages.sparkSession), "page_id")
     j = base.join(md, "page_id", "left").join(titles, "page_id", "left").join(removed, "page_id", "left")
     markdown = F.coalesce(F.col("markdown"), F.lit(""))
     raw_title = F.coalesce(F.col("title"), F.col("stem"), F.concat(F.lit("page "), F.col("page_id").cast("string")))

@@ -125,9 +125,8 @@ def test_long_and_short_pages_have_equal_nodes(spark, opts):
 def test_page_plan_has_one_page_exchange(spark, opts):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = N.build_nodes(df, opts)._jdf.queryExecution().executedPlan().toString()
-    # above the short and the long pages' rows one Exchange deals the pages to the node table's partitions
     steps = [re.sub(r"^[ :+-]*(\*\(\d+\) )?", "", line) for line in plan.split("\n")]
-    top = steps[: steps.index("Union")]
+    top = steps[: next(i for i, x in enumerate(steps) if x.startswith("ArrowEvalPython"))]
     assert [x[:28] for x in top if x.startswith("Exchange")] == ["Exchange hashpartitioning(pa"] and "BatchEvalPython" not in plan
 
 
