@@ -11,6 +11,7 @@ from loomdown.functions import text as T
 from loomdown.operators.chrome import clean_page
 from loomdown.operators.markdown import render
 from loomdown.operators.nodes import build_nodes
+from loomdown.plans.materialize import materialize
 from loomdown.options import Options, load_options
 
 
@@ -37,8 +38,8 @@ def test_smart_titles_switch(spark):
 
 
 def _md(spark, html, opts):
-    n = build_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"), opts)
-    return render(clean_page(n, opts).where("in_region"), opts).first().markdown
+    n = materialize(build_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"), opts))
+    return render(materialize(clean_page(n, opts).where("in_region")), opts).first().markdown
 
 
 def test_heading_styles_and_inline(spark):

@@ -3,6 +3,7 @@
 from loomdown.operators.chrome import clean_page
 from loomdown.operators.markdown import render
 from loomdown.operators.nodes import build_nodes
+from loomdown.plans.materialize import materialize
 from pyspark.sql import functions as F
 
 CASES = {
@@ -20,7 +21,7 @@ CASES = {
 
 def test_render_contract(spark, opts):
     df = spark.createDataFrame([(i, f"<main>{h}</main>") for i, h in enumerate(CASES)], "page_id long, html string")
-    rows = clean_page(build_nodes(df, opts), opts).where(F.col("in_region"))
+    rows = materialize(clean_page(materialize(build_nodes(df, opts)), opts).where(F.col("in_region")))
     got = {r.page_id: r.markdown for r in render(rows, opts, with_languages=False).collect()}
     want = dict(enumerate(CASES.values()))
     code = next(i for i, w in want.items() if "```" in w)
