@@ -7,11 +7,12 @@ resolve the runs: a file name belongs to its last run (overwrite), a merged targ
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomdown.functions import text as T
 from loomdown.operators.notes import merged_notes, note_files
+from loomdown.plans.answers import MESSAGES
 
 
 def _runs(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -28,6 +29,18 @@ def write_note_files(notes: DataFrame, folder: str, run: int, opts, order_key=("
     note_files(notes, opts, order_key).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/run={int(run)}")
 
 
+def export_notes(notes: DataFrame, folder: str, run: int, opts, order_key=("page_id", "phrase_id")) -> dict[str, int]:
+    """S4 with A1 and A3 from the same run: writes the note files and returns ``total``, ``exported`` and the number of rows of each failure
+    status, as metrics observed on the rows on their way to the files. The notes are computed once."""
+    kinds = [k for k in MESSAGES if k != "ok"]
+    exported = (F.col("status") == "ok") & (F.length(F.coalesce("markdown", F.lit(""))) > 0)
+    seen = Observation()
+    watched = notes.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(exported).alias("exported"),
+                            *[F.count_if(F.col("status") == k).alias(k) for k in kinds])
+    write_note_files(watched, folder, run, opts, order_key)
+    return dict(seen.get)
+
+
 def read_note_files(spark: SparkSession, folder: str) -> DataFrame:
     """The files as the runs left them: the last run that wrote a name wins (a partial aggregate)."""
     rows = spark.read.parquet(folder.rstrip("/"))

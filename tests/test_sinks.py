@@ -30,3 +30,31 @@ def test_repeated_first_run(spark, opts, tmp_path):
     for _ in range(2):
         append_merged(_notes(spark, (1, "a", "alpha")), "all", merged, 1, opts)
     assert [r.piece[:4] for r in read_merged(spark, merged).collect()] == ["---\n"]
+
+
+def test_export_counts_come_with_the_files(spark, opts, tmp_path):
+    """One run of the notes yields the files, A1's counts and A3's failures of all kinds; an empty body counts as not exported."""
+    from pyspark.sql import functions as F
+
+    from loomdown.operators.notes import export_summary, reject_summary
+    from loomdown.plans.answers import MESSAGES
+    from loomdown.sources.sinks import export_notes
+
+    failed = [k for k in MESSAGES if k != "ok"]
+    rows = [(i, 0, None, None, None, None, failed[i % len(failed)]) for i in range(9)] + [
+        (20, 0, "a", "A", "one", ["ai"], "ok"), (21, 0, "a", "A", "two", ["ai"], "ok"), (22, 0, "b", "B", "", ["ai"], "ok")]
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = export_notes(df.mapInArrow(count, df.schema), f"file://{tmp_path}/n", 1, opts)
+    assert ran.value == len(rows)
+    want = export_summary(df).first()
+    assert (got["exported"], got["total"]) == (want.exported, want.total) == (2, 12)
+    kinds = {r.status: r.n for r in reject_summary(df.withColumn("message", F.lit(""))).collect()}
+    assert {k: got[k] for k in failed} == kinds
+    assert [r.content.endswith("two") for r in read_note_files(spark, f"file://{tmp_path}/n").collect()] == [True]
