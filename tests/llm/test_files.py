@@ -111,3 +111,33 @@ def test_pipeline_stages(spark):
     out = C.run(spark, sf)
     n = out.count()
     assert 0 < n < docs.count() and out.select("doc_id").distinct().count() == n
+
+
+def test_warc_heavy_ids_and_jobs(spark):
+    """Heavy ids and null ids spread over several archives, the same in every run; the number of jobs does not follow the shards."""
+    rnd = random.Random(4)
+    rows = [(50, f"u{i}", f"heavy {i} " * 40) for i in range(300)] + [(50, "same", "again")] * 4 + [(None, f"n{i}", "nil " * 90) for i in range(200)]
+    rows += [(i, f"http://x/{i}", rnd.choice(["again", f"page {i} " * rnd.randint(1, 60)])) for i in range(0, 900, 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    sc, jobs, files = spark.sparkContext, [], []
+    for n, (shard, slices) in enumerate([(10**9, 10), (40000, 10**6), (4000, 10), (4000, 77)]):
+        sc.setJobGroup(f"warc-{n}", "")
+        folder = shared_dir(spark)
+        m = W.write_warc(df, folder, shard_bytes=shard, roll_bytes=10**9, slice_ids=slices)
+        files.append(sorted((r.name, r.records, r["bytes"], str(r.first_id), str(r.last_id)) for r in m.collect()))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"warc-{n}")))
+        back = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in W.read_warc(folder, m).collect()]
+        assert sorted(back, key=str) == brute_records(rows)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert files[2] == files[3] and len(files[0]) == 1 and len(files[2]) > 5 * len(files[1]) > 5
+    assert sum(i == j == "50" for _, _, _, i, j in files[2]) > 10 and sum(i == j == "None" for _, _, _, i, j in files[2]) > 10
+    assert abs(jobs[2] - jobs[1]) <= 4, jobs
+
+
+def test_shards_are_tasks(spark):
+    ids = spark.range(4000).selectExpr("id", "10L as b")
+    plan = W.shard_plan(ids, 1000, 300)
+    assert plan.count == 40 and plan.ends.tolist() == list(range(99, 3999, 100)) and not plan.more
+    assert W.shard_plan(ids.limit(0), 1000).count == 1
+    lone = W.shard_plan(spark.sql("select cast(null as long) as id, 5000L as b"), 1000)
+    assert lone.count == 5
