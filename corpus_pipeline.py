@@ -3,11 +3,14 @@
 ``run`` applies STAGES to the documents table. Each stage gets what its predecessor kept, written as Parquet in the shared folder
 and read again, so no stage recomputes an earlier one and a lost executor costs only the running tasks. All stages but the
 last return the columns of documents; rows with null or empty texts pass through (as empty documents they have one fingerprint and
-one of them stays).
+one of them stays). Rows repeating an id and text are copies like any others, null ids included; an empty table passes all stages
+as an empty one. Other columns, whatever their names, pass through unchanged; only text and n_chars change, by line dedup.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +26,13 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines on many sources leave the texts; n_chars follows the text, documents stay."""
-    out = line_dedup.line_dedup(docs)
+    # the operator adds two counts; columns of the documents with these names keep their values
+    aside = {c: f"kept_{uuid.uuid4().hex}" for c in docs.columns if c.lower() in ("n_lines", "n_removed_lines")}
+    out = line_dedup.line_dedup(docs.withColumnsRenamed(aside))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ STAGES = [
     ("bpe", stage_bpe),
 ]
 
-#: fingerprints and learned scores are beyond SQL; tests/llm compares with brute force
+#: fingerprints and learned scores are beyond SQL; tests/llm compares each stage with a brute-force version
 ORACLE_SQL = None
 
 
