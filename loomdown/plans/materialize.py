@@ -14,6 +14,7 @@ joins keyed by page_id then run without another Exchange.
 from __future__ import annotations
 
 import threading
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -21,13 +22,33 @@ from pyspark.sql import DataFrame
 from loomdown.session import ensure_checkpoint_dir
 
 _LOCK = threading.Lock()
+_OPEN = threading.local()
+
+
+@contextmanager
+def releasing():
+    """Tables this thread materialises inside the block leave the cache at its end (a listener's batch is written by then)."""
+    before, _OPEN.tables = getattr(_OPEN, "tables", None), []
+    try:
+        yield
+    finally:
+        for t in _OPEN.tables:
+            t.unpersist()
+        _OPEN.tables = before
+
+
+def _held(df: DataFrame) -> DataFrame:
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if getattr(_OPEN, "tables", None) is not None:
+        _OPEN.tables.append(df)
+    return df
 
 
 def materialize(df: DataFrame, mode: str = "checkpoint") -> DataFrame:
     if mode == "none":
         return df
     if mode == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return _held(df)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     with _LOCK:
@@ -39,4 +60,4 @@ def materialize(df: DataFrame, mode: str = "checkpoint") -> DataFrame:
             spark.conf.set("spark.sql.adaptive.enabled", prev)
     # the checkpoint files are the reliable copy; consumers read an in-memory columnar cache of them (a lost
     # executor's cached blocks are re-read from the checkpoint files, not recomputed)
-    return ck.persist(StorageLevel.MEMORY_AND_DISK)
+    return _held(ck)

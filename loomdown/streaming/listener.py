@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdown.plans.materialize import releasing
 from loomdown.sources.files import BINARY_SCHEMA, decode_files, file_stem
+from loomdown.sources.markdown_files import append_markdown, write_markdown_files
 
 
 def html_stream(spark: SparkSession, folder: str, start_ts=None) -> DataFrame:
@@ -41,23 +43,41 @@ def notes_batch(batch: DataFrame, opts, requests: DataFrame | None = None) -> Da
     asked = requests.where(F.btrim("phrase") != "")  # a blank phrase asks nothing
     req = asked.join(pages.select("path", "page_id"), "path")
     answers = page_answers(build_nodes(pages, opts), req.select("phrase_id", "page_id", "phrase"), opts)
-    return answers.unionByName(asked.join(bad, "path").select("page_id", "phrase_id", "status"), allowMissingColumns=True)
+    answers = answers.join(pages.select("page_id", "path"), "page_id")
+    return answers.unionByName(asked.join(bad, "path").select("page_id", "phrase_id", "path", "status"), allowMissingColumns=True)
 
 
 def start_listener(spark: SparkSession, folder: str, out_dir: str, checkpoint_dir: str, opts, start_ts="now",
-                   requests: DataFrame | None = None, trigger: dict | None = None):
+                   requests: DataFrame | None = None, trigger: dict | None = None, markdown_dir: str | None = None,
+                   merge_target: str | None = None):
     """Run the listener. ``start_ts`` is the modification time from which files count: the listener's start by default,
     None for a backfill of what lies in the folder. Each batch overwrites its own ``batch_id=N`` folder below
-    ``out_dir``, so a batch that is replayed after a failure leaves no second copy; ``latest_notes`` reads the result."""
+    ``out_dir``, so a batch that is replayed after a failure leaves no second copy; ``latest_notes`` reads the result.
+
+    With ``markdown_dir`` each batch also becomes Markdown files there: one per file name, or, with ``merge_target``, the end of
+    one merged note in (path, phrase) order. The target's state tells whether it is started and which batch came last, so
+    a replayed batch is appended exactly once. What a batch caches is released when it is written."""
+    if merge_target and not markdown_dir:
+        raise ValueError("a merge target needs markdown_dir")
     if start_ts == "now":
         start_ts = spark.sql("select current_timestamp()").first()[0]
     stream = html_stream(spark, folder, start_ts)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        out = notes_batch(batch, opts, requests)
-        if "tags" in out.columns:
-            out = out.withColumn("tags", F.array_join("tags", ", "))
-        out.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        folder = f"{out_dir.rstrip('/')}/batch_id={batch_id}"
+        with releasing():
+            out = notes_batch(batch, opts, requests)
+            if "tags" in out.columns:
+                out = out.withColumn("tags", F.array_join("tags", ", "))
+            out.write.mode("overwrite").parquet(folder)
+        if markdown_dir:  # from the written rows: the notes are computed once
+            rows = spark.read.schema(out.schema).parquet(folder)
+            rows = rows.withColumn("tags", F.filter(F.split("tags", ", "), lambda t: t != ""))
+            order = ("path",) if requests is None else ("path", "phrase_id")
+            if merge_target:
+                append_markdown(rows, merge_target, markdown_dir, batch_id, opts, order, writer=checkpoint_dir)
+            else:
+                write_markdown_files(rows, markdown_dir, opts, order)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(**(trigger or {"availableNow": True}))
