@@ -39,7 +39,8 @@ def PAGE_RUN() -> Window:
 def PAGE_BEFORE() -> Window:
     return Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
 
-INLINE_MARK = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+INLINE_MARK = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`", "samp": "`", "del": "~~", "s": "~~"}
+MAX_COLSPAN = 1000  # what HTML allows
 
 
 def _is(tag_list) -> Column:
@@ -112,10 +113,12 @@ def render(rows: DataFrame, opts, with_languages: bool = True) -> DataFrame:
     elem = F.col("kind").isin("open", "void", "raw") | (F.col("kind") == "end")
     block = elem & _is(K.BLOCK_TAGS) & ~F.col("in_pre")
     href = attr("href")
-    fmt = elem & ~F.col("in_pre") & (_is(["b", "strong", "i", "em", "code"]) | ((F.col("tag") == "a") & (F.coalesce(href, F.lit("")) != "")))
+    fmt = elem & ~F.col("in_pre") & (_is(INLINE_MARK) | ((F.col("tag") == "a") & (F.coalesce(href, F.lit("")) != "")))
     cell = elem & ~F.col("in_pre") & _is(["td", "th"])
+    span = F.coalesce(F.regexp_extract(attr("colspan"), r"^[ \t\n\r\f]*([0-9]{1,6})", 1).try_cast("int"), F.lit(1))
     u = rows.select("page_id", "pos", "ord", "sub", "elem", "end", "kind", "tag", "text", "in_pre", "parent", "amap",
-                    block.alias("blk"), fmt.alias("fmt"), cell.alias("cell"), href.alias("href"))
+                    block.alias("blk"), fmt.alias("fmt"), cell.alias("cell"), href.alias("href"),
+                    F.when(cell, F.greatest(F.lit(1), F.least(span, F.lit(MAX_COLSPAN)))).alias("span"))
     # ordered-list item numbers: an li row joins its parent's group (window, no join)
     is_li = is_open & (F.col("kind") == "open") & (F.col("tag") == "li")
     u = u.withColumn("_g", F.when(is_li, F.col("parent")).when(is_open & F.col("tag").isin("ul", "ol"), F.col("pos")))
@@ -153,15 +156,18 @@ def render(rows: DataFrame, opts, with_languages: bool = True) -> DataFrame:
     )
     close_piece = F.when(F.col("cell"), F.lit(" ")).when(F.col("ok") & (tag == "a"), F.concat(F.lit("]("), F.col("href"), F.lit(")"))).when(F.col("ok"), mark)
     u = u.withColumn("piece", F.when(is_open, open_piece).otherwise(close_piece))
+    # borders a row shows here: one before a cell, and after a cell of several columns one for each further column
+    u = u.withColumn("bars", F.when(F.col("cell"), F.when(is_open, F.lit(1)).otherwise(F.col("span") - 1)).otherwise(F.lit(0)))
     u = u.withColumn("o_tag", F.when(is_open & F.col("blk"), tag)).withColumn("o_pos", F.when(is_open & F.col("blk"), F.col("pos")))
 
     segs = u.groupBy("page_id", "seg").agg(
         F.min(F.struct(*ORDER, "o_tag", "o_pos", "bq", "ld", "lid", "li_num")).alias("first"),
-        F.collect_list(F.when(F.col("piece").isNotNull(), F.struct(*ORDER, "piece", (F.col("cell") & is_open).alias("cell")))).alias("ps"),
-        F.count("wide").alias("cells"), F.coalesce(F.max("wide"), F.lit(False)).alias("wide"),
+        F.collect_list(F.when(F.col("piece").isNotNull(), F.struct(*ORDER, "piece", "bars"))).alias("ps"),
+        F.coalesce(F.sum(F.when(F.col("wide").isNotNull(), F.col("span"))), F.lit(0)).alias("cells"), F.coalesce(F.max("wide"), F.lit(False)).alias("wide"),
     )
     joined = F.array_join(F.transform(F.col("ps"), lambda x: x["piece"]), "")
-    piped = F.array_join(F.transform(F.col("ps"), lambda x: F.when(x["cell"], "| ").otherwise(F.replace(x["piece"], F.lit("|"), F.lit("\\|")))), "")
+    piped = F.array_join(F.transform(F.col("ps"), lambda x: F.when(
+        x["bars"] > 0, F.concat(F.lit(" "), F.repeat(F.lit("| "), x["bars"]))).otherwise(F.replace(x["piece"], F.lit("|"), F.lit("\\|")))), "")
     is_row = (F.col("o_tag") == "tr") & (F.col("cells") > 0) & ~F.col("wide")
     segs = segs.withColumn("ps", F.array_sort("ps")).select(
         "page_id", "seg", *[F.col(f"first.{c}").alias(c) for c in ("o_tag", "o_pos", "bq", "ld", "lid", "li_num")], "cells", "wide", "ps")

@@ -22,6 +22,7 @@ from loomdown.operators.phrases import answerable, first_hits
 from loomdown.plans.materialize import materialize
 
 ORDER = ["pos", "ord", "sub"]
+TITLE_SALTS = 32
 
 MESSAGES = {
     "ok": "Extraction successful.",
@@ -77,18 +78,25 @@ def page_answers(nodes: DataFrame, requests: DataFrame, opts, titles: DataFrame
     live = materialize(live.where("live"), opts.materialize)  # read by the renderer and by each look-up of code languages
     md = render(live, opts).select(F.col("page_id.p").alias("page_id"), F.col("page_id.a").alias("apos"),
                                                  T.squeeze_blank(F.col("markdown")).alias("markdown"))
-    out = requests.select("page_id", "phrase_id", "phrase").join(h, ["page_id", "phrase_id"], "left").join(md, ["page_id", "apos"], "left")
+    out = with_supplied(requests, titles).join(h, ["page_id", "phrase_id"], "left").join(md, ["page_id", "apos"], "left")
     status = (F.when(F.col("hit").isNull(), "phrase_not_found").when(F.col("cont").isNull(), "no_container")
               .when(F.col("apos").isNull(), "no_answer").when(F.coalesce(F.col("markdown"), F.lit("")) == "", "empty").otherwise("ok"))
-    return finish_answers(out.withColumn("status", status), opts, titles)
+    return finish_answers(out.withColumn("status", status), opts)
 
 
-def finish_answers(df: DataFrame, opts, titles: DataFrame | None = None, also: list[str] | None = None) -> DataFrame:
-    """Title (J6 supplied title, else T10 of the phrase), file name, tags, words and message for answer rows; columns ``also`` stay."""
-    if titles is not None:
-        df = df.join(titles.select("phrase", F.col("title").alias("supplied")), "phrase", "left")
-    else:
-        df = df.withColumn("supplied", F.lit(None).cast("string"))
+def with_supplied(requests: DataFrame, titles: DataFrame | None) -> DataFrame:
+    """Requests with their ``supplied`` title. A phrase may be asked by a third of all requests: its requests are dealt over
+    TITLE_SALTS keys, each title is there once a salt, and only the small request rows are shuffled, not the answers."""
+    if titles is None:
+        return requests.withColumn("supplied", F.lit(None).cast("string"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(TITLE_SALTS - 1)))
+    given = titles.select("phrase", F.col("title").alias("supplied"), salts.alias("salt"))
+    salted = requests.withColumn("salt", F.pmod(F.xxhash64("page_id", "phrase_id"), F.lit(TITLE_SALTS)).cast("int"))
+    return salted.join(given, ["phrase", "salt"], "left").drop("salt")
+
+
+def finish_answers(df: DataFrame, opts, also: list[str] | None = None) -> DataFrame:
+    """Title (the supplied one, else T10 of the phrase), file name, tags, words and message for answer rows; columns ``also`` stay."""
     title = F.coalesce(F.when(F.col("supplied") != "", F.col("supplied")), T.smart_title(F.col("phrase"), opts))
     ok = F.col("status") == "ok"
     md = F.when(ok, F.col("markdown"))
@@ -111,8 +119,8 @@ def turn_answers(conversations: DataFrame, requests: DataFrame, opts, titles: Da
     req = materialize(answerable(requests).select("page_id", "phrase_id", "phrase"), opts.materialize)
     answers = users.groupBy("page_id", F.col("pos").alias("hit")).agg(F.min("next_ans").alias("a"))
     hits = materialize(first_hits(users, req).join(answers, ["page_id", "hit"]), opts.materialize)
-    out = req.join(hits, ["page_id", "phrase_id"], "left")
+    out = with_supplied(req, titles).join(hits, ["page_id", "phrase_id"], "left")
     status = F.when(F.col("hit").isNull(), "phrase_not_found").when(F.col("a").isNull(), "no_answer").otherwise("ok")
-    out = out.select("page_id", "phrase_id", "phrase", status.alias("status"), F.col("a.text").alias("markdown"),
+    out = out.select("page_id", "phrase_id", "phrase", "supplied", status.alias("status"), F.col("a.text").alias("markdown"),
                      F.col("a.turn").alias("answer_turn"))
-    return finish_answers(out, opts, titles, ["answer_turn"])
+    return finish_answers(out, opts, ["answer_turn"])

@@ -22,8 +22,9 @@ def chat_pages(conversations: DataFrame) -> DataFrame:
     code = (F.when(k == 0, F.lit('<pre class="language-python"><code>def f(x): return x</code></pre>'))
             .when(k == 1, F.lit("<p>rust code</p><section><pre><code>loop {}</code></pre></section>"))
             .when(k == 2, F.lit("<section><pre><code>SELECT a FROM b</code></pre></section>"))
-            .when(k == 3, F.lit("<ul><li><p>one</p><p>more</p></li><li>two<ol><li><p>in <b>bold</b></p></li></ol></li></ul>"
-                                "<table><thead><tr><th>k</th><th>v|w</th></tr></thead><tbody><tr><td>a</td><td></td></tr></tbody></table>"
+            .when(k == 3, F.lit("<ul><li><p>one</p><p>more</p></li><li>two<ol><li><p>in <b>bold</b> <kbd>Esc</kbd> <samp>log</samp> <del>out</del> <s>old</s></p></li></ol></li></ul>"
+                                "<table><thead><tr><th>k</th><th>v|w</th></tr></thead><tbody><tr><td>a</td><td></td></tr><tr><td colspan=\"2\">both</td></tr></tbody></table>"
+                                "<table><tr><th colspan=3>x|y</th><th>z</th></tr></table>"
                                 "<table><tr><td><p>wide</p></td><td>cell</td></tr></table>"))
             .otherwise(F.lit("")))
     t = conversations.select("conv_id", "turn", F.concat(

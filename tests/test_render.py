@@ -15,6 +15,10 @@ CASES = {
     "<table><tr><td>1</td><td></td></tr></table><table><tr><td>2</td></tr></table>": "| 1 | |\n| --- | --- |\n\n| 2 |\n| --- |",
     "<table><tr><td><p>wide</p></td><td>cell</td></tr></table>": "wide\n\ncell",
     "<p>a|b</p>": "a|b",
+    "<p>press <kbd>Esc</kbd>, read <samp>log</samp>, <del>out</del> <s>old</s><del> </del></p>": "press `Esc`, read `log`, ~~out~~ ~~old~~",
+    '<table><tr><td colspan="2">both</td><td>c</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>': "| both | | c |\n| --- | --- | --- |\n| 1 | 2 | 3 |",
+    "<table><tr><td>a</td><td colspan=3><b>x|y</b></td></tr></table>": "| a | **x\\|y** | | |\n| --- | --- | --- | --- |",
+    "<table><tr><td colspan=0>a</td><td colspan=none>b</td></tr></table>": "| a | b |\n| --- | --- |",
     "<blockquote><table><tr><td>q</td></tr></table></blockquote>": "> | q |\n> | --- |",
 }
 
