@@ -60,7 +60,7 @@ STAGES = [
     ("bpe", stage_bpe),
 ]
 
-#: fingerprints and learned scores are beyond SQL; tests/llm compares each stage with a brute-force version
+#: fingerprints and learned scores are beyond SQL; tests/llm compares each stage with a plain version; decontam by planted items
 ORACLE_SQL = None
 
 
