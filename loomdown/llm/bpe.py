@@ -120,6 +120,42 @@ def chunks(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+class InnerSpace(Exception):
+    """A space that no non-space follows: the text is not cut at every space."""
+
+
+LONGEST = 256  # characters of a chunk that is remembered
+
+
+class ChunkTable:
+    """The values of a text's chunks. Nearly all chunks are a space and what lies up to the next one; they are remembered without
+    that space, as ``str.split`` gives them, so a text costs one split and a look-up a chunk. Texts with other spaces or with long
+    chunks are cut by ``chunks``."""
+
+    def __init__(self, make: Callable, limit: int):
+        self.make, self.whole, self.tail = make, Bounded(make, limit), Bounded(self._tail, limit)
+
+    def _tail(self, part: str):
+        if not part or part[0].isspace():
+            raise InnerSpace
+        return self.make(" " + part)
+
+    def short(self, text: str) -> list | None:
+        """The chunks' values if the text is cut at every space into chunks of at most LONGEST characters, else None."""
+        head, *rest = text.split(" ")
+        if len(text) > LONGEST and (len(head) > LONGEST or max(map(len, rest), default=0) >= LONGEST):
+            return None
+        try:
+            out = list(map(self.tail.__getitem__, rest))
+        except InnerSpace:
+            return None
+        return [self.whole[head], *out] if head else out
+
+    def values(self, text: str) -> list:
+        out = self.short(text)
+        return [self.whole[c] if len(c) <= LONGEST else self.make(c) for c in chunks(text) if c] if out is None else out
+
+
 class Encoder:
     """Encodes and decodes texts by a rank file and a pre-token pattern."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdown.llm.bpe import Bounded, chunks, load_ranks
+from loomdown.llm.bpe import ChunkTable, load_ranks
 from loomdown.llm.common import shared_dir, written
 from loomdown.llm.files import TemporaryFile, commit, open_fs
 
@@ -91,10 +91,10 @@ def _tokenizer(rank_file: str, pattern: str):
     kind = "<u2" if max(ranks.values()) < 65535 else "<u4"
     enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     one = lambda c: np.array(enc.encode_ordinary(c), dtype=kind).tobytes()
-    seen = Bounded(one, 500_000)
+    seen = ChunkTable(one, 500_000)
 
     def tokens(text: str) -> bytes:
-        return b"".join([seen[c] if len(c) <= 256 else one(c) for c in chunks(text) if c])
+        return b"".join(seen.values(text))
 
     return tokens, kind
 
