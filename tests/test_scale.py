@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomdown.operators.chrome import clean_page
 from loomdown.operators.markdown import prepare_rows, render_prepared, with_piece
-from loomdown.operators.nodes import build_nodes
+from loomdown.operators.nodes import build_nodes, without_closes
 from loomdown.operators.phrases import first_hits
 from loomdown.operators.titles import page_titles
 from loomdown.plans.materialize import WHILE, materialize
@@ -56,3 +56,19 @@ def test_few_phrases_need_no_index(spark):
     both = first_hits(strings, spark.createDataFrame(few + busy, "phrase_id int, page_id int, phrase string"))
     assert "gram" in both._jdf.queryExecution().analyzed().toString()
     assert {r.phrase_id: r.hit for r in both.collect()} == want | {1000 + k: k for k in range(25)}
+
+
+def test_close_tags_carry_nothing(spark, opts):
+    """The page plans drop the rows of close tags: notes and labels are the same without them. A label block's text ends at its end
+    marker, whatever token lies before it, and an empty block has no text."""
+    pages = [(1, HTML, "python"),
+             (2, "<main><p>rust</p><p></p><section><pre><code>python x</code></pre></section></main>", "rust"),
+             (3, "<main><p>rust <nav>gone</nav><section><pre>x</pre></section></p></main>", "rust")]
+    nodes = build_nodes(spark.createDataFrame(pages, "page_id long, html string, lang string"), opts)
+    assert without_closes(nodes).where("kind = 'close'").isEmpty() and not nodes.where("kind = 'close'").isEmpty()
+    notes = []
+    for n in (nodes, without_closes(nodes)):
+        rows = materialize(prepare_rows(with_piece(clean_page(materialize(n), opts).where("in_region").drop("piece"))))
+        notes.append({r.page_id: r.markdown for r in render_prepared(rows, opts).collect()})
+    assert notes[0] == notes[1]
+    assert {i: m.split("```")[1].split("\n")[0] for i, m in notes[0].items()} == {i: lang for i, _, lang in pages}
