@@ -38,7 +38,7 @@ SYMBOL = 8
 HOT = 8192  # so many representatives of one anchor fill a bucket by themselves
 BUCKET_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18  # bytes hashed at once: their arrays of 8-byte numbers stay in a core's cache
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -165,6 +165,7 @@ class ShardBwt:
         at = at[np.argsort(sym[at])]
         new = _borders(sym[at])
         self.suffix = (at + first).astype(np.int32)  # numbered through all shards of the bucket
+        self.offset = offset[at]  # bytes before the suffix in its string
         self.alphabet = sym[at[new]]
         self.symbol = np.cumsum(new) - 1
         number = np.empty(len(data), dtype=np.int64)
@@ -176,13 +177,16 @@ def merge_repeats(shards: list[ShardBwt], length: int = LENGTH) -> np.ndarray:
     """Suffix numbers whose first ``length`` bytes start another suffix too, by interleave refinement of the shards' tables."""
     alphabet = np.sort(np.concatenate([s.alphabet for s in shards]))
     alphabet = alphabet[_borders(alphabet)]
-    suffix = np.concatenate([s.suffix for s in shards])
-    symbol, before = [], np.full(int(suffix.max(initial=-1)) + 1, -1, dtype=np.int32)
+    before = np.full(max((int(s.suffix.max(initial=-1)) for s in shards), default=-1) + 1, -1, dtype=np.int32)
+    suffix, symbol = [], []
     for s in shards:
         joint = np.append(np.searchsorted(alphabet, s.alphabet), -1).astype(np.int32)  # the shard's numbers in the joint alphabet; -1 stays
-        symbol.append(joint[s.symbol])
+        # the rounds lead from a window's last symbol to its start: a suffix with fewer bytes before it ends no window of its string
+        last = s.offset >= length - SYMBOL
+        suffix.append(s.suffix[last])
+        symbol.append(joint[s.symbol[last]])
         before[s.suffix] = joint[s.before]
-    symbol = np.concatenate(symbol)
+    suffix, symbol = np.concatenate(suffix), np.concatenate(symbol)
     z = np.argsort(symbol)  # round 1: the shards' sorted tables interleaved by first symbol
     suffix, border = suffix[z], _borders(symbol[z])
     for _ in range(length // SYMBOL - 1):
@@ -247,18 +251,20 @@ def _spans(docs: DataFrame, length: int, hot: int, bucket_bytes: int) -> DataFra
         for b in batches:
             data, ends = _buffers(b.column(2))
             raw = memoryview(data)
-            start = 0
-            for i, (e, reps) in enumerate(zip(ends.tolist(), b.column(3))):
-                out = []
-                for r in reps.as_py():
-                    lo, n = start + (r["pos"] >> 8), r["pos"] & 255
-                    out.append((r["h"], r["k"], r["hot"], r["pos"], bytes(raw[lo: lo + n + length - 1])))
-                at = pa.array([i] * len(out), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_()),
-                     b.column(0).take(at), b.column(1).take(at), pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.binary())],
-                    names=["h", "k", "hot", "id", "tk", "pos", "s"])
-                start = e
+            rep = dict(zip(("h", "t", "k", "hot", "pos"), b.column(3).flatten().flatten()))
+            row = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            pos = rep["pos"].to_numpy()
+            lo = np.concatenate([[0], ends[:-1]])[row] + (pos >> 8)
+            hi = lo + (pos & 255) + (length - 1)
+            # a batch's strings leave in pieces of bounded size
+            piece = np.cumsum(hi - lo) // _BLOCK
+            cuts = [0, *(np.nonzero(np.diff(piece))[0] + 1).tolist(), len(lo)] if len(lo) else [0]
+            for a, z in zip(cuts, cuts[1:]):
+                at = pa.array(row[a:z])
+                of = {c: rep[c].slice(a, z - a) for c in ("h", "k", "hot", "pos")}
+                s = pa.array([bytes(raw[x:y]) for x, y in zip(lo[a:z].tolist(), hi[a:z].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([of["h"], of["k"], of["hot"], b.column(0).take(at), b.column(1).take(at), of["pos"], s],
+                                                 names=["h", "k", "hot", "id", "tk", "pos", "s"])
 
     strings = written(j.select("id", "tk", "text", "reps").mapInArrow(cut, f"h long, k long, hot boolean, id {id_type}, tk long, pos long, s binary"))
     size = strings.where(~F.col("hot")).agg(F.sum(F.octet_length("s"))).first()[0] or 0

@@ -45,6 +45,18 @@ def test_repeated_windows():
         assert [x.tolist() for x in S.repeated_windows(strings, 200, shard_bytes)] == want
 
 
+def test_merge_orders_windows_only(monkeypatch):
+    rnd = random.Random(6)
+    base = bytes(rnd.choice(b"abcd") for _ in range(284))
+    strings = [base, base[:283] + b"x", base[1:] + b"y"]
+    shards = [S.ShardBwt(strings[:2], 0), S.ShardBwt(strings[2:], 568)]
+    sorted_keys, argsort = [], np.argsort
+    monkeypatch.setattr(S.np, "argsort", lambda key: sorted_keys.append(len(key)) or argsort(key))
+    hits = S.merge_repeats(shards, 200)
+    assert sorted(hits.tolist()) == [*range(85), *range(284, 368), *range(568, 652)]
+    assert len(sorted_keys) == 25 and max(sorted_keys) <= sum(len(s) - 199 for s in strings)
+
+
 def test_long_texts_are_cut_alike(monkeypatch):
     data = np.frombuffer(bytes(random.Random(1).choice(b"abc") for _ in range(5000)), dtype=np.uint8)
     monkeypatch.setattr(S, "_BLOCK", 512)
