@@ -72,3 +72,19 @@ def test_close_tags_carry_nothing(spark, opts):
         notes.append({r.page_id: r.markdown for r in render_prepared(rows, opts).collect()})
     assert notes[0] == notes[1]
     assert {i: m.split("```")[1].split("\n")[0] for i, m in notes[0].items()} == {i: lang for i, _, lang in pages}
+
+
+def test_answers_sort_places_only(spark, opts):
+    """Rows of other elements and further copies of a string stay out of the search for an answer; places found are the same."""
+    from loomdown.plans.answers import answer_nodes, answer_places, container_and_answer
+
+    html = ("<title>T</title><!-- note --><div><p>ask <b>this</b></p><br></div><section><ul><li><i>x</i></li></ul></section>"
+            "<div/><div><p>an answer of more than <b>twenty</b> characters</p></div><script>find()</script>")
+    nodes = answer_nodes(build_nodes(spark.createDataFrame([(1, html), (2, HTML)], "page_id long, html string"), opts)).cache()
+    assert not {"any_text", "piece", "depth", "role"} & set(nodes.columns)
+    places = answer_places(nodes)
+    assert places.where("tag in ('p', 'b', 'i', 'br', 'ul') or (ord = 1 and tag <> 'div')").isEmpty() and places.count() < 0.7 * nodes.count()
+    want, got = ({(r.page_id, r.pos): (r.cont, r.next_div) for r in container_and_answer(n).where("ord = 0").collect()} for n in (nodes, places))
+    read = {(r.page_id, r.pos) for r in nodes.where("ord = 0 and (text is not null or other is not null or tag in ('div', 'li', 'article', 'section'))").collect()}
+    assert got == {k: want[k] for k in read}
+    assert any(v[1] for v in got.values())
