@@ -96,14 +96,15 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     reg = fps.select("fp", _cell(F.col("fp")).alias("own")).select("fp", "own", F.explode(steps).alias("step"))
     reg = reg.select("fp", (F.col("own") + F.col("step")).alias("cell"))
     sizes = reg.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = written(reg.join(sizes, "cell"))
+    # Spark sizes exploded rows as if they were not exploded and would broadcast them
+    shared = written(reg.join(sizes.hint("merge"), "cell"))
     small = shared.where(F.col("n") <= crowded).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     pairs = small.select(F.explode("fps").alias("u"), "fps").select("u", F.explode(F.filter("fps", lambda x: x > F.col("u"))).alias("v"))
     near = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
     flips = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), i) for i in range(64)])
     busy = shared.where(F.col("n") > crowded).select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
     low = busy.groupBy("key").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where(F.col("n") > 1)
-    star = busy.join(low, "key").where(F.col("fp") != F.col("v")).select(F.col("fp").alias("u"), "v")
+    star = busy.join(low.hint("merge"), "key").where(F.col("fp") != F.col("v")).select(F.col("fp").alias("u"), "v")
     return near.unionByName(star).distinct()
 
 
@@ -124,7 +125,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = _roots(rows, rows.groupBy("fp").agg(F.min("id").alias("low")))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = roots.join(lows, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    # repeated rows take next to no room in files, so rows may be many more than their files let Spark think
+    return rows.join(by_fp.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
