@@ -210,7 +210,8 @@ def _indexes(items: DataFrame, item_col: str, text_col: str, items_per_index: in
     for k in range(blocks):
         rows = [(r.item, r.t) for r in base.where(F.col("block") == k).orderBy("item", "t").collect()]
         own = pairs.where(F.col("block") == k).select("pair").distinct()
-        df = {r.pair: r.df for r in counts.join(own, "pair", "left_semi").collect()}
+        # Spark sizes the exploded pairs by the items' files and would broadcast them; both sides lie by pair already
+        df = {r.pair: r.df for r in counts.join(own.hint("merge"), "pair", "left_semi").collect()}
         yield items.sparkSession.sparkContext.broadcast(Index(rows, df, n, mean_len))
 
 

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from loomdown.llm import simhash
+from loomdown.llm import decontam, simhash
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,10 @@ def test_repeated_documents(spark, plans):
     got = simhash.simhash_components(docs).collect()
     assert len(got) == 3000 and len({r.fp for r in got}) == 1
     assert re.search(r"SortMergeJoin \[fp#", plans[-1].split("== Initial Plan ==")[0])
+
+
+def test_pairs_of_test_items(spark, plans):
+    items = spark.createDataFrame([(i, f"what is the name of river {i} here? it is called number {i} there.") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so what is the name of river 7 here? it is called number 7 there. yes"), (2, "nothing of it")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contamination(docs, items, items_per_index=15).collect()] == [(1, 7)]
+    assert set(joins(plans)) == {"SortMergeJoin"}
